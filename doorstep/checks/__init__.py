@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("bands",)
+FAMILIES = ("bands", "identity", "qualification", "scoring", "observations", "web")
 
 
 @dataclass(frozen=True)

@@ -159,7 +159,7 @@ CTES = {
          CASE WHEN p_retailprice >= 930 THEN '080' || CAST(p_partkey AS VARCHAR) END AS phone,
          CASE WHEN p_retailprice < 970 THEN 'https://listing.example/' || CAST(p_partkey AS VARCHAR) END AS source_url,
          p_brand AS search_id, p_size, p_retailprice,
-         list_filter(list_distinct([{slug_sql('p_type')}, {slug_sql('p_name')}, {slug_sql('p_brand')}]), x -> x <> '') AS types,
+         [{slug_sql('p_type')}, {slug_sql('p_name')}, {slug_sql('p_brand')}] AS types,
          lower(p_name || ' ' || p_type || ' ' || p_type || ' ' || p_name || ' ' || p_brand) AS evidence
   FROM part""",
     "profiles": "SELECT * FROM ("

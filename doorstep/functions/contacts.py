@@ -58,11 +58,11 @@ def _role(line: Column, rules: ContactRules) -> Column:
     return found
 
 
-def _email(line: Column, rules: ContactRules) -> Column:
+def email_in(line: Column, rules: ContactRules) -> Column:
     return F.nullif(F.regexp_extract(line, rules.email, 1), F.lit(""))
 
 
-def _phone(line: Column, rules: ContactRules) -> Column:
+def phone_in(line: Column, rules: ContactRules) -> Column:
     low, high = rules.phone_digits
     runs = F.filter(
         F.regexp_extract_all(line, F.lit(rules.phone), F.lit(1)),
@@ -99,7 +99,7 @@ def line_facts(text: Column, rules: ContactRules = ContactRules()) -> Column:
     )
 
     def facts(line: Column) -> Column:
-        role, email, phone = _role(line, rules), _email(line, rules), _phone(line, rules)
+        role, email, phone = _role(line, rules), email_in(line, rules), phone_in(line, rules)
         detailed = role.isNotNull() | email.isNotNull() | phone.isNotNull()
         return F.struct(
             role.alias("role"),

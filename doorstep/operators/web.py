@@ -24,6 +24,7 @@ from doorstep.functions.urls import (
     host_kind,
     identity,
     name_match,
+    parent_domains,
 )
 
 
@@ -105,6 +106,18 @@ def website_verdicts(
     )
 
 
+def suffix_join(
+    urls: DataFrame, domains: DataFrame, url: str = "url", domain: str = "domain"
+) -> DataFrame:
+    """URLs with every listed domain their host is or lies under, as an equality join.
+
+    For domain lists too long for a literal: the host's few parents are exploded and meet
+    the list by hash, where a suffix comparison would be a nested loop.
+    """
+    parents = urls.select("*", F.explode(parent_domains(host(F.col(url)))).alias("_parent"))
+    return parents.join(domains, parents["_parent"] == domains[domain]).drop("_parent")
+
+
 # Where a handle was read, most trusted first.
 ORIGINS = ("listing", "own_site", "search", "snippet")
 

@@ -88,7 +88,7 @@ def main() -> int:
     from doorstep.checks import load_all
 
     spark = build_session(
-        "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                        "spark.driver.memory": os.environ.get("DRIVER_MEMORY", "8g")}
     )
     spark.sparkContext.setLogLevel("ERROR")
