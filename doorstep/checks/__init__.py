@@ -8,7 +8,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("bands", "identity", "qualification", "scoring", "observations", "web")
+FAMILIES = (
+    "bands", "identity", "qualification", "scoring", "observations", "web", "planning",
+    "governance", "sheet", "payloads", "movement",
+)
 
 
 @dataclass(frozen=True)

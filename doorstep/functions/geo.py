@@ -36,7 +36,7 @@ def composed(*parts: Column) -> Column:
 
 def city_of(query: Column, precision: Column) -> Column:
     """The city inside a composed query: second part for an area, first for a city."""
-    parts = F.filter(F.transform(F.split(query, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(query, ","), lambda p: F.trim(p)), lambda p: p != "")
     wanted = F.when(precision == "area", 2).otherwise(1)
     return F.coalesce(F.try_element_at(parts, wanted), F.try_element_at(parts, F.lit(1)))
 

@@ -264,3 +264,29 @@ def resolve_aliases(requested: DataFrame, aliases: DataFrame, value: str = "valu
         F.min(position).alias(position)
     )
     return resolved, joined.where(F.col("niche_id").isNull()).drop("niche_id")
+
+
+def outcome_report(counts: DataFrame, flagged: DataFrame, niche: str = "niche_id") -> DataFrame:
+    """Per category of one pass: searches, candidates, qualified, new, already stored, state.
+
+    `counts` is `telemetry` (one row per search and category), `flagged` the qualified
+    records with `known`.
+    """
+    spent = counts.groupBy(niche).agg(
+        F.count(F.lit(1)).alias("searches"),
+        F.sum(F.col("qualified") + F.col("rejected")).alias("candidates"),
+        F.sum("qualified").alias("qualified"),
+        F.sum("rejected").alias("_rejected"),
+        F.sum("name_gate_rejected").alias("name_gate_rejected"),
+    )
+    gained = flagged.groupBy(niche).agg(
+        F.count_if(~F.col("known")).alias("new_businesses"),
+        F.count_if(F.col("known")).alias("already_stored"),
+    )
+    return spent.join(gained, niche, "left").select(
+        niche, "searches", "candidates", "qualified",
+        F.coalesce("new_businesses", F.lit(0)).alias("new_businesses"),
+        F.coalesce("already_stored", F.lit(0)).alias("already_stored"),
+        "name_gate_rejected",
+        state_of(F.col("qualified"), F.col("_rejected")).alias("state"),
+    )

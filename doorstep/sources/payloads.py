@@ -66,7 +66,8 @@ def listing_rows(responses: DataFrame, raw: str = "raw", keep: tuple[str, ...] =
         F.coalesce(trimmed(F.col("p.type")), F.lit("")).alias("category"),
         F.filter(
             F.transform(
-                F.coalesce(F.col("p.types"), F.array().cast("array<string>")), F.trim
+                F.coalesce(F.col("p.types"), F.array().cast("array<string>")),
+                lambda t: F.trim(t),
             ),
             lambda t: t != "",
         ).alias("raw_categories"),
