@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FAMILIES = (
     "bands", "identity", "qualification", "scoring", "observations", "web", "planning",
-    "governance", "sheet", "payloads", "movement",
+    "governance", "sheet", "payloads", "movement", "streams",
 )
 
 
