@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from doorstep.functions.casts import digits_only
 from doorstep.operators.ordering import (
     HOT_ROWS,
+    join_groups,
     largest_group,
     latest_per_key,
     running_totals,
@@ -70,8 +71,7 @@ def with_cohort_rank(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         )
     sizes = members.groupBy(*cohort).agg(F.count("audience_index").alias("cohort_size"))
     ranked = running_totals(members, cohort, order, {"cohort_rank": rankable}, hot_rows=hot_rows)
-    same = ranked["niche_id"].eqNullSafe(sizes["niche_id"]) & ranked["city"].eqNullSafe(sizes["city"])
-    return ranked.join(sizes, same, "left").select(ranked["*"], sizes["cohort_size"])
+    return join_groups(ranked, sizes, cohort)
 
 
 def cohort_bands(

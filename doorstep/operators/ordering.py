@@ -55,9 +55,13 @@ def latest_per_source(
     return df.where(wanted).groupBy(key).agg(*aggregates)
 
 
-def _same_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
-    tests = [left[c].eqNullSafe(right[c]) for c in by]
-    return reduce(lambda a, b: a & b, tests)
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-group values to rows; NULL is a group like any other."""
+    renamed = right.select(
+        *[F.col(c).alias(f"_g_{c}") for c in by], *[c for c in right.columns if c not in by]
+    )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])
+    return left.join(renamed, same, how).drop(*[f"_g_{c}" for c in by])
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -104,19 +108,19 @@ def running_totals(
     # Rows picked by a hash of their own order values mark where pieces begin. The choice
     # depends on the data alone, so a lost task recomputes the same pieces.
     sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    every = F.greatest(F.lit(1).cast("bigint"), (F.col("_n") / pieces).cast("bigint"))
     sampled = (
-        keyed.join(sizes, _same_group(keyed, sizes, group), "inner")
-        .where(F.pmod(F.xxhash64(*names), F.greatest(F.lit(1), F.col("_n") / pieces).cast("bigint")) == 0)
-        .select(*[keyed[c].alias(c) for c in group], place.alias("_mark"))
+        join_groups(keyed, sizes, group, "inner")
+        .where(F.pmod(F.xxhash64(*names), every) == 0)
+        .select(*group, place.alias("_mark"))
     )
     marks = sampled.groupBy(*group).agg(F.array_sort(F.collect_list("_mark")).alias("_marks"))
-    placed = keyed.join(marks, _same_group(keyed, marks, group), "left").select(
-        *[keyed[c] for c in keyed.columns],
-        F.coalesce(
-            F.size(F.filter("_marks", lambda mark: mark <= place)), F.lit(0)
-        ).alias("_piece"),
+    placed = join_groups(keyed, marks, group).select(
+        *keyed.columns,
+        F.when(F.col("_marks").isNull(), 0)
+        .otherwise(F.size(F.filter("_marks", lambda mark: mark <= place)))
+        .alias("_piece"),
     )
-    placed = placed.withColumn("_piece", F.greatest("_piece", F.lit(0)))
 
     per_piece = placed.groupBy(*group, "_piece").agg(
         *[F.sum(f"_t_{name}").alias(f"_p_{name}") for name in totals]
@@ -129,7 +133,7 @@ def running_totals(
     offsets = per_piece.select(
         *group, "_piece",
         *[F.sum(f"_p_{name}").over(before).alias(f"_p_{name}") for name in totals],
-    )
+    ).where(F.col("_piece") > 0)
     inside = (
         Window.partitionBy(*group, "_piece")
         .orderBy(*names)
@@ -138,13 +142,9 @@ def running_totals(
     local = placed.select(
         "*", *[F.sum(f"_t_{name}").over(inside).alias(f"_l_{name}") for name in totals]
     )
-    match = _same_group(local, offsets, group) & (local["_piece"] == offsets["_piece"])
-    return local.join(offsets, match, "left").select(
-        *[local[c] for c in columns],
-        *[
-            (local[f"_l_{n}"] + F.coalesce(offsets[f"_p_{n}"], F.lit(0))).alias(n)
-            for n in totals
-        ],
+    return join_groups(local, offsets, [*group, "_piece"]).select(
+        *columns,
+        *[(F.col(f"_l_{n}") + F.coalesce(f"_p_{n}", F.lit(0))).alias(n) for n in totals],
     )
 
 
