@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -63,13 +62,13 @@ def _decompositions() -> tuple[str, str, str, dict[str, str]]:
         if len(plain) == 1:
             source.append(char)
             target.append(plain)
-        elif plain.isascii():
-            expanding[char] = plain
+        else:
+            expanding[char] = "".join(c if c.isascii() else " " for c in plain)
     return "".join(source), "".join(target), "".join(dropped), expanding
 
 
 def unaccented(value: Column) -> Column:
-    """Compatibility-decomposed text without combining marks, inside the JVM.
+    """Compatibility-decomposed text without combining marks, as far as ASCII goes.
 
     One `translate` covers every character with a one-character base letter. Characters
     that expand to several ("½", "ﬁ") take a second step that only runs on rows holding one.
@@ -121,5 +120,3 @@ def literal_pattern(words_: tuple[str, ...]) -> str:
     """A regular-expression alternation of literal words, for Java's dialect."""
     return "|".join("".join(c if c.isalnum() else "\\" + c for c in word) for word in words_)
 
-
-assert sys.maxunicode >= 0x10FFFF

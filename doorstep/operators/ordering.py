@@ -94,57 +94,57 @@ def running_totals(
         return df.select("*", *[F.sum(e).over(window).alias(n) for n, e in totals.items()])
 
     columns = df.columns
-    names = [f"_o{i}" for i in range(len(order))]
-    group = by or ["_all"]
+    names = [f"_rt_o{i}" for i in range(len(order))]
+    group = by or ["_rt_all"]
     keyed = df.select(
         "*",
-        *([] if by else [F.lit(0).alias("_all")]),
+        *([] if by else [F.lit(0).alias("_rt_all")]),
         *[expr.alias(name) for name, expr in zip(names, order)],
-        *[expr.alias(f"_t_{name}") for name, expr in totals.items()],
+        *[expr.alias(f"_rt_t_{name}") for name, expr in totals.items()],
     )
     keyed = cut_lineage(keyed)
     place = F.struct(*names)
 
     # Rows picked by a hash of their own order values mark where pieces begin. The choice
     # depends on the data alone, so a lost task recomputes the same pieces.
-    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    every = F.greatest(F.lit(1).cast("bigint"), (F.col("_n") / pieces).cast("bigint"))
+    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_rt_size")).where(F.col("_rt_size") > hot_rows)
+    every = F.greatest(F.lit(1).cast("bigint"), (F.col("_rt_size") / pieces).cast("bigint"))
     sampled = (
         join_groups(keyed, sizes, group, "inner")
         .where(F.pmod(F.xxhash64(*names), every) == 0)
-        .select(*group, place.alias("_mark"))
+        .select(*group, place.alias("_rt_mark"))
     )
-    marks = sampled.groupBy(*group).agg(F.array_sort(F.collect_list("_mark")).alias("_marks"))
+    marks = sampled.groupBy(*group).agg(F.array_sort(F.collect_list("_rt_mark")).alias("_rt_marks"))
     placed = join_groups(keyed, marks, group).select(
         *keyed.columns,
-        F.when(F.col("_marks").isNull(), 0)
-        .otherwise(F.size(F.filter("_marks", lambda mark: mark <= place)))
-        .alias("_piece"),
+        F.when(F.col("_rt_marks").isNull(), 0)
+        .otherwise(F.size(F.filter("_rt_marks", lambda mark: mark <= place)))
+        .alias("_rt_piece"),
     )
 
-    per_piece = placed.groupBy(*group, "_piece").agg(
-        *[F.sum(f"_t_{name}").alias(f"_p_{name}") for name in totals]
+    per_piece = placed.groupBy(*group, "_rt_piece").agg(
+        *[F.sum(f"_rt_t_{name}").alias(f"_rt_p_{name}") for name in totals]
     )
     before = (
         Window.partitionBy(*group)
-        .orderBy("_piece")
+        .orderBy("_rt_piece")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = per_piece.select(
-        *group, "_piece",
-        *[F.sum(f"_p_{name}").over(before).alias(f"_p_{name}") for name in totals],
-    ).where(F.col("_piece") > 0)
+        *group, "_rt_piece",
+        *[F.sum(f"_rt_p_{name}").over(before).alias(f"_rt_p_{name}") for name in totals],
+    ).where(F.col("_rt_piece") > 0)
     inside = (
-        Window.partitionBy(*group, "_piece")
+        Window.partitionBy(*group, "_rt_piece")
         .orderBy(*names)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = placed.select(
-        "*", *[F.sum(f"_t_{name}").over(inside).alias(f"_l_{name}") for name in totals]
+        "*", *[F.sum(f"_rt_t_{name}").over(inside).alias(f"_rt_l_{name}") for name in totals]
     )
-    return join_groups(local, offsets, [*group, "_piece"]).select(
+    return join_groups(local, offsets, [*group, "_rt_piece"]).select(
         *columns,
-        *[(F.col(f"_l_{n}") + F.coalesce(f"_p_{n}", F.lit(0))).alias(n) for n in totals],
+        *[(F.col(f"_rt_l_{n}") + F.coalesce(f"_rt_p_{n}", F.lit(0))).alias(n) for n in totals],
     )
 
 
@@ -170,15 +170,15 @@ def with_previous(
     if largest_group(df, by) <= hot_rows:
         window = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[F.lag(s).over(window).alias(n) for n, s in previous.items()])
-    ranked = cut_lineage(rank_within(df, by, order, "_rank", hot_rows=hot_rows))
+    ranked = cut_lineage(rank_within(df, by, order, "_wp_rank", hot_rows=hot_rows))
     earlier = ranked.select(
-        *[F.col(c).alias(f"_b_{c}") for c in by],
-        (F.col("_rank") + 1).alias("_b_rank"),
+        *[F.col(c).alias(f"_wp_b_{c}") for c in by],
+        (F.col("_wp_rank") + 1).alias("_wp_b_rank"),
         *[F.col(s).alias(n) for n, s in previous.items()],
     )
-    match = F.col("_rank") == F.col("_b_rank")
+    match = F.col("_wp_rank") == F.col("_wp_b_rank")
     for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+        match = match & F.col(c).eqNullSafe(F.col(f"_wp_b_{c}"))
     return ranked.join(earlier, match, "left").select(*df.columns, *previous)
 
 

@@ -40,7 +40,7 @@ def test_hot_group_is_cut_into_pieces(spark, skewed):
         skewed, ["g"], [F.col("v"), F.col("id")], {"rank": F.lit(1)}, hot_rows=100, pieces=8
     )
     plan = hot._jdf.queryExecution().analyzed().toString()
-    assert "_piece" in plan
+    assert "_rt_piece" in plan
 
 
 def test_previous_row_in_both_paths(skewed):
