@@ -5,9 +5,7 @@ from pyspark.sql import functions as F
 from doorstep.checks import check
 from doorstep.checks.domain import COHORT, Domain, sql
 from doorstep.operators import bands
-from doorstep.operators.ordering import latest_per_key, rank_within
-
-_REVIEWS = F.get_json_object
+from doorstep.operators.ordering import largest_group, latest_per_key, rank_within
 
 
 def band_table(d: Domain, city: str = "city"):
@@ -22,7 +20,7 @@ def band_table(d: Domain, city: str = "city"):
             F.get_json_object("data", "$.reviews"),
         ),
     )
-    return bands.cohort_bands(members)
+    return bands.cohort_bands(members, largest=largest_group(businesses, ["niche_id", "city"]))
 
 
 _OUT = """SELECT business_id, name, niche_id, city, search_area, audience_index, reviews, total,

@@ -59,7 +59,8 @@ def _(d: Domain):
                     -coalesce(total_score, 0), lower(coalesce(business_name, '')), business_id) AS sheet_row FROM cells"""),
 )
 def _(d: Domain):
-    return sheet.ordered_sheet(sheet.sheet_cells(records(d))).select("business_id", "sheet_row")
+    rows = d.table("customer").count()
+    return sheet.ordered_sheet(sheet.sheet_cells(records(d)), rows=rows).select("business_id", "sheet_row")
 
 
 @check(

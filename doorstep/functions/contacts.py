@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from doorstep.functions.text import let
+
 
 @dataclass(frozen=True)
 class ContactRules:
@@ -59,7 +61,8 @@ def _role(line: Column, rules: ContactRules) -> Column:
 
 
 def email_in(line: Column, rules: ContactRules) -> Column:
-    return F.nullif(F.regexp_extract(line, rules.email, 1), F.lit(""))
+    found = F.regexp_extract(line, rules.email, 1)
+    return F.when(line.contains("@"), F.nullif(found, F.lit("")))
 
 
 def phone_in(line: Column, rules: ContactRules) -> Column:
@@ -83,9 +86,8 @@ def _name_in(line: Column, rules: ContactRules) -> Column:
 
 def _bare_name(line: Column, rules: ContactRules) -> Column:
     whole = F.regexp_extract(line, rf"^{rules.title}{rules.name}\.?$", 1)
-    return F.when(
-        (F.length(line) <= rules.name_line_chars) & (whole != "") & _is_name(whole, rules), whole
-    )
+    name = let(whole, lambda w: F.when((w != "") & _is_name(w, rules), w))
+    return F.when(F.length(line) <= rules.name_line_chars, name)
 
 
 def line_facts(text: Column, rules: ContactRules = ContactRules()) -> Column:
@@ -99,12 +101,19 @@ def line_facts(text: Column, rules: ContactRules = ContactRules()) -> Column:
     )
 
     def facts(line: Column) -> Column:
-        role, email, phone = _role(line, rules), email_in(line, rules), phone_in(line, rules)
-        detailed = role.isNotNull() | email.isNotNull() | phone.isNotNull()
+        details = F.struct(
+            _role(line, rules).alias("role"),
+            phone_in(line, rules).alias("phone"),
+            email_in(line, rules).alias("email"),
+        )
+        return let(details, lambda d: named(line, d))
+
+    def named(line: Column, d: Column) -> Column:
+        detailed = d["role"].isNotNull() | d["email"].isNotNull() | d["phone"].isNotNull()
         return F.struct(
-            role.alias("role"),
-            phone.alias("phone"),
-            email.alias("email"),
+            d["role"].alias("role"),
+            d["phone"].alias("phone"),
+            d["email"].alias("email"),
             F.when(detailed, _name_in(line, rules)).alias("name"),
             F.when(~detailed, _bare_name(line, rules)).alias("bare"),
         )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doorstep.functions.text import any_marker
+from doorstep.functions.text import any_marker, let
 from doorstep.functions.urls import host, path_parts, under_any
 
 
@@ -44,42 +45,38 @@ def site_grade(text: Column, markers: SiteMarkers = SiteMarkers()) -> Column:
 
     `mobile_friendly` is NULL for text without markup: not measured is not "no".
     """
-    lowered = F.lower(text)
     width = F.regexp_extract(text, f"({markers.viewport})", 1)
-    traits = {
-        "catalogue": any_marker(lowered, markers.catalogue),
-        "enquiry": any_marker(lowered, markers.enquiry),
-        "ordering": any_marker(lowered, markers.ordering),
-        "mobile_friendly": F.when(
-            text.rlike(markers.html),
-            width.rlike(markers.device_width) | text.rlike(markers.media_query),
+    traits = let(
+        F.lower(text),
+        lambda lowered: F.struct(
+            any_marker(lowered, markers.catalogue).alias("catalogue"),
+            any_marker(lowered, markers.enquiry).alias("enquiry"),
+            any_marker(lowered, markers.ordering).alias("ordering"),
+            F.when(
+                text.rlike(markers.html),
+                width.rlike(markers.device_width) | text.rlike(markers.media_query),
+            ).alias("mobile_friendly"),
         ),
-    }
-    weights = dict(markers.weights)
-    measured = sum(
-        (F.when(traits[name].isNotNull(), F.lit(w)).otherwise(0.0) for name, w in weights.items()),
-        F.lit(0.0),
-    )
-    earned = sum(
-        (F.when(traits[name], F.lit(w)).otherwise(0.0) for name, w in weights.items()),
-        F.lit(0.0),
     )
+    readable = F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) >= markers.min_chars
+    return F.when(readable, let(traits, lambda t: _graded(t, dict(markers.weights))))
+
+
+def _graded(traits: Column, weights: dict[str, float]) -> Column:
+    """Score, signals and gaps of measured traits; weights renormalise over those measured."""
+
+    def total(test: Callable[[Column], Column]) -> Column:
+        parts = (F.when(test(traits[n]), F.lit(w)).otherwise(0.0) for n, w in weights.items())
+        return sum(parts, F.lit(0.0))
 
-    def named(test) -> Column:
+    def named(test: Callable[[Column], Column]) -> Column:
         return F.array_compact(F.array(*[F.when(test(traits[n]), n) for n in weights]))
 
-    readable = F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) >= markers.min_chars
-    return F.when(
-        readable,
-        F.struct(
-            traits["mobile_friendly"].alias("mobile_friendly"),
-            traits["catalogue"].alias("catalogue"),
-            traits["enquiry"].alias("enquiry"),
-            traits["ordering"].alias("ordering"),
-            F.rint(100 * earned / measured).cast("int").alias("score"),
-            named(lambda trait: trait).alias("signals"),
-            named(lambda trait: ~trait).alias("gaps"),
-        ),
+    return F.struct(
+        *[traits[n].alias(n) for n in ("mobile_friendly", "catalogue", "enquiry", "ordering")],
+        F.rint(100 * total(lambda t: t) / total(lambda t: t.isNotNull())).cast("int").alias("score"),
+        named(lambda t: t).alias("signals"),
+        named(lambda t: ~t).alias("gaps"),
     )
 
 
@@ -106,25 +103,30 @@ class AdPageMarkers:
 
 def ad_page(text: Column, markers: AdPageMarkers = AdPageMarkers()) -> Column:
     """Struct of status, runs_ads (tri-state) and ad_count."""
-    lowered = F.lower(text)
     short = text.isNull() | (
         F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < markers.min_chars
     )
-    stated = F.regexp_extract(lowered, markers.count, 1)
-    count = F.replace(stated, F.lit(","), F.lit("")).try_cast("bigint")
-    outcome = (
-        F.when(short | any_marker(lowered, markers.blocked), "blocked")
-        .when(any_marker(lowered, markers.empty), "empty")
-        .when(stated != "", "counted")
-        .otherwise("no_data")
-    )
-    return F.struct(
-        F.when(outcome.isin("empty", "counted"), "ok").otherwise(outcome).alias("status"),
-        F.when(outcome == "empty", False).when(outcome == "counted", count > 0).alias("runs_ads"),
-        F.when(outcome == "empty", F.lit(0).cast("bigint"))
-        .when(outcome == "counted", count)
-        .alias("ad_count"),
-    )
+
+    def read(lowered: Column) -> Column:
+        stated = F.regexp_extract(lowered, markers.count, 1)
+        return (
+            F.when(any_marker(lowered, markers.blocked), "blocked")
+            .when(any_marker(lowered, markers.empty), "0")
+            .when(stated != "", F.replace(stated, F.lit(","), F.lit("")))
+            .otherwise("no_data")
+        )
+
+    answer = F.when(short, "blocked").otherwise(let(F.lower(text), read))
+
+    def finding(said: Column) -> Column:
+        count = said.try_cast("bigint")
+        return F.struct(
+            F.when(said.isin("blocked", "no_data"), said).otherwise("ok").alias("status"),
+            (count > 0).alias("runs_ads"),
+            count.alias("ad_count"),
+        )
+
+    return let(answer, finding)
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from doorstep.functions.text import let
+
 # What a redacted spot reads, and the shapes that are redacted.
 REDACTED = "[redacted]"
 SCRUBBED = "REDACTED"
@@ -17,15 +19,22 @@ ASSIGNMENT_SHAPE = (
 CREDENTIAL_SHAPE = (
     r"\b(?=[A-Za-z0-9_\-]*[0-9])(?=[A-Za-z0-9_\-]*[A-Za-z])[A-Za-z0-9_\-]{20,}\b"
 )
+LONG_RUN = r"[A-Za-z0-9_\-]{20}"
 SECRET_FIELDS = ("api_key", "apikey", "key", "token", "access_token")
 
 
 def redacted(text: Column, mark: str = REDACTED) -> Column:
     """Text without URLs, bearer tokens, labelled secrets and credential-shaped runs."""
-    step = F.regexp_replace(text, URL_SHAPE, mark)
+    # Cheap tests first: most texts hold none of these.
+    step = F.when(text.contains("://"), F.regexp_replace(text, URL_SHAPE, mark)).otherwise(text)
     step = F.regexp_replace(step, BEARER_SHAPE, f"$1 {mark}")
     step = F.regexp_replace(step, ASSIGNMENT_SHAPE, f"$1={mark}")
-    return F.regexp_replace(step, CREDENTIAL_SHAPE, mark)
+    return let(
+        step,
+        lambda s: F.when(
+            s.rlike(LONG_RUN), F.regexp_replace(s, CREDENTIAL_SHAPE, mark)
+        ).otherwise(s),
+    )
 
 
 def scrubbed_query(

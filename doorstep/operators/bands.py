@@ -52,7 +52,9 @@ def cohort_members(
     )
 
 
-def with_cohort_rank(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_cohort_rank(
+    members: DataFrame, hot_rows: int = HOT_ROWS, largest: int | None = None
+) -> DataFrame:
     """`cohort_size` (rankable members) and `cohort_rank` (rank among them).
 
     Unrankable members sort last, so the ranks of the rankable ones are unaffected by them
@@ -62,7 +64,9 @@ def with_cohort_rank(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     unranked = F.col("audience_index").isNull()
     order = [unranked, F.coalesce("audience_index", F.lit(0.0)), F.col("business_id")]
     rankable = (~unranked).cast("bigint")
-    if largest_group(members, cohort) <= hot_rows:
+    if largest is None:
+        largest = largest_group(members, cohort)
+    if largest <= hot_rows:
         whole = Window.partitionBy(*cohort)
         return members.select(
             "*",
@@ -70,15 +74,21 @@ def with_cohort_rank(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             F.row_number().over(whole.orderBy(*order)).cast("bigint").alias("cohort_rank"),
         )
     sizes = members.groupBy(*cohort).agg(F.count("audience_index").alias("cohort_size"))
-    ranked = running_totals(members, cohort, order, {"cohort_rank": rankable}, hot_rows=hot_rows)
+    ranked = running_totals(members, cohort, order, {"cohort_rank": rankable}, hot_rows, largest=largest)
     return join_groups(ranked, sizes, cohort)
 
 
 def cohort_bands(
-    members: DataFrame, min_cohort: int = MIN_COHORT, hot_rows: int = HOT_ROWS
+    members: DataFrame,
+    min_cohort: int = MIN_COHORT,
+    hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Band and method per business: tiles in a large enough cohort, thresholds otherwise."""
-    ranked = with_cohort_rank(members, hot_rows)
+    """Band and method per business: tiles in a large enough cohort, thresholds otherwise.
+
+    `largest` is the size of the largest cohort where it is known from the businesses alone.
+    """
+    ranked = with_cohort_rank(members, hot_rows, largest)
     relative = F.col("cohort_size") >= min_cohort
     third = tile(F.col("cohort_rank"), F.col("cohort_size"), 3)
     band = (

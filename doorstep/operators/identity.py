@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +66,14 @@ def merge_duplicates(records: DataFrame, key: str = "dedupe_key", ordinal: str =
     firsts = records.groupBy(key).agg(
         *[
             F.min(F.when(present(F.col(f)).isNotNull(), F.col(ordinal))).alias(f"_first_{f}")
-            for f in RICH_FIELDS
+            for f in SCALAR_FIELDS
         ],
         F.min(F.when(F.col("lat").isNotNull(), F.col(ordinal))).alias("_first_lat"),
         F.min(F.when(F.col("lng").isNotNull(), F.col(ordinal))).alias("_first_lng"),
         F.min(ordinal).alias("_first"),
+        F.count(F.lit(1)).alias("merged_rows"),
     )
-    seen = records.join(firsts, key)
+    seen = records.select(key, ordinal, *SCALAR_FIELDS, "lat", "lng").join(firsts, key)
 
     def earlier(field: str) -> Column:
         return F.coalesce(F.col(f"_first_{field}") < F.col(ordinal), F.lit(False))
@@ -80,8 +83,17 @@ def merge_duplicates(records: DataFrame, key: str = "dedupe_key", ordinal: str =
     ).cast("int")
     own = richness(*[F.col(c) for c in (*RICH_FIELDS, "lat", "lng")])
     leads = (F.col(ordinal) == F.col("_first")) | (own > before)
+    opens = reduce(
+        or_, [F.coalesce(F.col(ordinal) == F.col(f"_first_{f}"), F.lit(False)) for f in (*SCALAR_FIELDS, "lat", "lng")]
+    )
 
-    marked = seen.select(key, ordinal, *SCALAR_FIELDS, "lat", "lng", leads.alias("_leads"))
+    # Only leading records and first fillers can reach the result: a handful per key.
+    marked = (
+        seen.select(
+            key, ordinal, "merged_rows", *SCALAR_FIELDS, "lat", "lng",
+            leads.alias("_leads"), opens.alias("_opens"),
+        ).where(F.col("_leads") | F.col("_opens"))
+    )
 
     def merged(field: str, value: Column) -> Column:
         has = value.isNotNull()
@@ -93,7 +105,7 @@ def merge_duplicates(records: DataFrame, key: str = "dedupe_key", ordinal: str =
 
     scalars = marked.groupBy(key).agg(
         F.min(ordinal).alias(ordinal),
-        F.count(F.lit(1)).alias("merged_rows"),
+        F.first("merged_rows").alias("merged_rows"),
         *[merged(f, present(F.col(f))) for f in SCALAR_FIELDS],
         merged("lat", F.col("lat")),
         merged("lng", F.col("lng")),

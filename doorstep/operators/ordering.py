@@ -79,13 +79,17 @@ def running_totals(
     totals: Mapping[str, Column],
     hot_rows: int = HOT_ROWS,
     pieces: int = PIECES,
+    largest: int | None = None,
 ) -> DataFrame:
     """`df` plus inclusive running sums of `totals` along `order` within each group.
 
     `order` lists ascending expressions that leave no ties. Negate numbers for descending.
+    `largest` is the size of the largest group where the caller knows it from a cheaper table.
     """
     by = list(by)
-    if largest_group(df, by) <= hot_rows:
+    if largest is None:
+        largest = largest_group(df, by)
+    if largest <= hot_rows:
         window = (
             Window.partitionBy(*by)
             .orderBy(*order)
@@ -153,7 +157,7 @@ def rank_within(
     by: Sequence[str],
     order: Sequence[Column],
     name: str = "rank",
-    **kwargs: int,
+    **kwargs: int | None,
 ) -> DataFrame:
     """`df` plus a 1-based row number along `order` within each group."""
     return running_totals(df, by, order, {name: F.lit(1).cast("bigint")}, **kwargs)

@@ -244,9 +244,16 @@ def sheet_order(tie: str) -> list[Column]:
     ]
 
 
-def ordered_sheet(records: DataFrame, tie: str = "business_id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds `sheet_row`, the row's place in the whole sheet."""
-    return rank_within(records, [], sheet_order(tie), "sheet_row", hot_rows=hot_rows)
+def ordered_sheet(
+    records: DataFrame,
+    tie: str = "business_id",
+    hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
+) -> DataFrame:
+    """Adds `sheet_row`, the row's place in the whole sheet; `rows` is its length if known."""
+    return rank_within(
+        records, [], sheet_order(tie), "sheet_row", hot_rows=hot_rows, largest=rows
+    )
 
 
 def ranked_leads(

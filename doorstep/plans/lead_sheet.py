@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doorstep.operators import bands, identity, sheet
+from doorstep.operators.ordering import largest_group
 from doorstep.sources.tables import read_table
 
 PARTS = (
@@ -30,7 +31,8 @@ def lead_bands(tables: Mapping[str, DataFrame], min_cohort: int = bands.MIN_COHO
             tables["enrichments"], good, F.get_json_object("data", "$.reviews")
         ),
     )
-    return bands.cohort_bands(members, min_cohort)
+    largest = largest_group(tables["businesses"], ["niche_id", "city"])
+    return bands.cohort_bands(members, min_cohort, largest=largest)
 
 
 def lead_sheet(
@@ -42,7 +44,9 @@ def lead_sheet(
         lead_bands(tables), tables["verdicts"], tables["contacts"], tables["enrichments"],
         tables["scores"], tables["automation_opportunities"], tables["outreach"], niche_labels,
     )
-    return sheet.ordered_sheet(sheet.sheet_cells(sheet.evidence_sources(records)))
+    return sheet.ordered_sheet(
+        sheet.sheet_cells(sheet.evidence_sources(records)), rows=tables["businesses"].count()
+    )
 
 
 def write_back(tables: Mapping[str, DataFrame], typed_rows: DataFrame, asof) -> DataFrame:
