@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doorstep.session import prepare
 from doorstep.sources.registry import Offer, Profile
+from doorstep.sources.tables import read_spread
 
 # A registry and an offer catalogue for the words the given tables hold.
 PROFILES = (
@@ -254,6 +255,9 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        return read_spread(self.spark, f"{self.folder}/{name}.parquet", *keys)
+
     @cached_property
     def businesses(self) -> DataFrame:
         c, n, r, p = (self.table(t) for t in ("customer", "nation", "region", "pages"))

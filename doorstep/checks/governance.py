@@ -6,7 +6,6 @@ from doorstep.checks import check
 from doorstep.checks.domain import Domain, sql
 from doorstep.functions import secrets
 from doorstep.operators import audit, ledger
-from doorstep.session import spread
 
 _BUDGET = """
 budget AS (
@@ -106,8 +105,7 @@ def _(d: Domain):
         SELECT doc_id, t4 <> text AS changed, length(t4) AS chars, sha256(t4) AS digest FROM r5""",
 )
 def _(d: Domain):
-    documents = spread(d.table("documents").select("doc_id", "text"), "doc_id")
-    clean = documents.select("doc_id", "text", secrets.redacted(F.col("text")).alias("t"))
+    clean = d.spread("documents", "doc_id").select("doc_id", "text", secrets.redacted(F.col("text")).alias("t"))
     return clean.select(
         "doc_id", (F.col("t") != F.col("text")).alias("changed"),
         F.length("t").cast("bigint").alias("chars"), F.sha2("t", 256).alias("digest"),

@@ -131,7 +131,7 @@ def _sightings(d: Domain):
     def tag(letter: str, value):
         return F.concat(F.lit(letter), value)
 
-    return d.table("lineitem").select(
+    return d.spread("lineitem", "l_orderkey", "l_linenumber").select(
         tag("part|", F.col("l_partkey").cast("string")).alias("dedupe_key"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
         "l_orderkey", "l_linenumber",

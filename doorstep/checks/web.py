@@ -8,7 +8,6 @@ from doorstep.functions.contacts import ContactRules
 from doorstep.functions.pages import AdPageMarkers, ProfileSite, SiteMarkers, ad_page, site_grade
 from doorstep.functions.urls import HostLists, host
 from doorstep.operators import web
-from doorstep.session import spread
 
 # Domain lists and words that the given pages hold.
 LISTS = HostLists(
@@ -46,7 +45,7 @@ def _match_sql(name: str, identity: str = "identity") -> str:
 
 
 def _pages(d: Domain):
-    return d.table("pages").withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return d.spread("pages", "page_id").withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
 
 
 @check("url_kinds", "P6",
@@ -171,10 +170,9 @@ _TEXTS = """(SELECT 'page' AS origin, page_id AS id, html AS text FROM pages
             FROM {_TEXTS} WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200))""",
 )
 def _(d: Domain):
-    pages = d.table("pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    documents = d.table("documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "text")
-    texts = spread(pages, "id").unionByName(spread(documents, "id"))
-    graded = texts.withColumn("g", site_grade(F.col("text"), MARKERS))
+    pages = d.spread("pages", "page_id").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    documents = d.spread("documents", "doc_id").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "text")
+    graded = pages.unionByName(documents).withColumn("g", site_grade(F.col("text"), MARKERS))
     return graded.where(F.col("g").isNotNull()).select(
         "origin", "id", "g.mobile_friendly", "g.catalogue", "g.enquiry", "g.ordering", "g.score",
         F.array_join("g.signals", ",").alias("signals"), F.array_join("g.gaps", ",").alias("gaps"),
@@ -197,8 +195,7 @@ AD_MARKERS = AdPageMarkers(
              FROM (SELECT *, regexp_extract(lower(text), '~?\\s*([\\d,]+)\\s*', 1) AS c FROM documents))""",
 )
 def _(d: Domain):
-    documents = spread(d.table("documents").select("doc_id", "text"), "doc_id")
-    return documents.select("doc_id", ad_page(F.col("text"), AD_MARKERS).alias("a")).select(
+    return d.spread("documents", "doc_id").select("doc_id", ad_page(F.col("text"), AD_MARKERS).alias("a")).select(
         "doc_id", "a.status", "a.runs_ads", "a.ad_count"
     )
 
@@ -288,7 +285,7 @@ FROM firsts"""
 
 @check("named_contacts", "P11", _CONTACTS)
 def _(d: Domain):
-    return web.extracted_contacts(d.table("documents"), keep=("doc_id",), rules=RULES)
+    return web.extracted_contacts(d.spread("documents", "doc_id"), keep=("doc_id",), rules=RULES)
 
 
 @check(

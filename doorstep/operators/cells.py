@@ -13,9 +13,11 @@ from doorstep.functions.geo import moved_lat, moved_lng
 from doorstep.operators.ordering import (
     HOT_ROWS,
     first_n_within,
+    largest_group,
     rank_within,
     running_totals,
     with_previous,
+    with_smallest,
 )
 
 # Yield thresholds, days until an exhausted cell is tried again, scan range.
@@ -128,6 +130,7 @@ def cell_history(
     state machine becomes a matter of counting.
     """
     cell = list(cell)
+    largest = largest_group(passes, cell)
     base = passes.select(
         "*",
         F.greatest(F.col(new), F.lit(0)).alias("_new"),
@@ -136,7 +139,7 @@ def cell_history(
     )
     order = [F.col("_at")]
     prior = with_previous(
-        base, cell, order, {"_prev_new": "_new", "_prev_at": "_at"}, hot_rows
+        base, cell, order, {"_prev_new": "_new", "_prev_at": "_at"}, hot_rows, largest
     )
     zero, prev_zero = F.col("_new") == 0, F.coalesce(F.col("_prev_new") == 0, F.lit(False))
     if revive_after_days is None:
@@ -147,7 +150,7 @@ def cell_history(
             F.lit(False),
         )
     staged = prior.select("*", (zero & prev_zero).alias("_repeat"), late.alias("_late"))
-    staged = with_previous(staged, cell, order, {"_prev_repeat": "_repeat"}, hot_rows)
+    staged = with_previous(staged, cell, order, {"_prev_repeat": "_repeat"}, hot_rows, largest)
     able = F.col("_late") & F.coalesce("_prev_repeat", F.lit(False))
     counted = running_totals(
         staged.select("*", able.alias("_able")), cell, order,
@@ -158,19 +161,18 @@ def cell_history(
             "_chain": (~F.col("_able")).cast("bigint"),
         },
         hot_rows,
+        largest=largest,
     )
     # A chain is one pass that could not revive the cell and those right after it that could.
-    heads = counted.groupBy(*cell, "_chain").agg(F.min("_n").alias("_head"))
-    chained = counted.join(heads, [*cell, "_chain"])
+    chained = with_smallest(counted, [*cell, "_chain"], "_n", "_head", largest, hot_rows)
     revived = F.col("_able") & ((F.col("_n") - F.col("_head")) % 2 == 1)
     flagged = chained.select("*", revived.alias("revived"))
     final = running_totals(
-        flagged, cell, order, {"_life": F.col("revived").cast("bigint")}, hot_rows
+        flagged, cell, order, {"_life": F.col("revived").cast("bigint")}, hot_rows,
+        largest=largest,
     )
-    starts = final.groupBy(*cell, "_life").agg(
-        F.min(F.col("_full") - F.when(zero, 0).otherwise(1)).alias("_full_before")
-    )
-    paged = final.join(starts, [*cell, "_life"])
+    before = F.col("_full") - F.when(zero, 0).otherwise(1)
+    paged = with_smallest(final, [*cell, "_life"], before, "_full_before", largest, hot_rows)
     exhausted = F.col("_repeat") & ~F.col("revived")
     return paged.select(
         *passes.columns,

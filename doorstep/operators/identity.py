@@ -95,40 +95,65 @@ def merge_duplicates(records: DataFrame, key: str = "dedupe_key", ordinal: str =
         ).where(F.col("_leads") | F.col("_opens"))
     )
 
-    def merged(field: str, value: Column) -> Column:
-        has = value.isNotNull()
-        led = F.max_by(
-            F.when(has & F.col("_leads"), value), F.when(has & F.col("_leads"), F.col(ordinal))
-        )
-        filled = F.min_by(F.when(has, value), F.when(has, F.col(ordinal)))
-        return F.coalesce(led, filled).alias(field)
-
-    scalars = marked.groupBy(key).agg(
-        F.min(ordinal).alias(ordinal),
+    # At most seven leads and ten first fillers by construction, so the list is short.
+    fields = [*SCALAR_FIELDS, "lat", "lng"]
+    gathered = marked.groupBy(key).agg(
         F.first("merged_rows").alias("merged_rows"),
-        *[merged(f, present(F.col(f))) for f in SCALAR_FIELDS],
-        merged("lat", F.col("lat")),
-        merged("lng", F.col("lng")),
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    ordinal, "_leads",
+                    *[present(F.col(f)).alias(f) for f in SCALAR_FIELDS], "lat", "lng",
+                )
+            )
+        ).alias("_rows"),
     )
-    for field in LIST_FIELDS:
-        scalars = scalars.join(_ordered_union(records, key, ordinal, field), key, "left")
-    return scalars.select(
+
+    def merged(field: str) -> Column:
+        has = F.filter("_rows", lambda r: r[field].isNotNull())
+        led = F.filter(has, lambda r: r["_leads"])
+        return F.coalesce(
+            F.try_element_at(led, F.lit(-1))[field], F.try_element_at(has, F.lit(1))[field]
+        ).alias(field)
+
+    scalars = gathered.select(
+        key, F.get("_rows", F.lit(0))[ordinal].alias(ordinal), "merged_rows",
+        *[merged(f) for f in fields],
+    )
+    return scalars.join(_ordered_unions(records, key, ordinal), key, "left").select(
         key, ordinal, "merged_rows", *SCALAR_FIELDS, "lat", "lng",
         *[F.coalesce(F.col(f), F.array().cast("array<string>")).alias(f) for f in LIST_FIELDS],
     )
 
 
-def _ordered_union(records: DataFrame, key: str, ordinal: str, field: str) -> DataFrame:
-    """Distinct entries of an array column per key, in order of first appearance."""
-    entries = records.select(key, ordinal, F.posexplode(field).alias("_pos", "_item"))
-    firsts = entries.groupBy(key, "_item").agg(
-        F.min(F.struct(ordinal, "_pos")).alias("_at")
-    )
-    return firsts.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_at", "_item"))), lambda e: e["_item"]
-        ).alias(field)
-    )
+# Room for an entry's position beside its record's ordinal in one whole number.
+_POSITIONS = 65536
+
+
+def _ordered_unions(records: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """Distinct entries of the list columns per key, in order of first appearance.
+
+    First appearance is one whole number per entry, so the first and only large aggregate
+    folds in hash tables per task.
+    """
+
+    def tagged(field: str) -> Column:
+        return F.transform(
+            F.coalesce(F.col(field), F.array().cast("array<string>")),
+            lambda item, pos: F.struct(
+                F.lit(field).alias("list"), pos.alias("pos"), item.alias("item")
+            ),
+        )
+
+    entries = records.select(key, ordinal, F.inline(F.concat(*[tagged(f) for f in LIST_FIELDS])))
+    place = F.col(ordinal).cast("bigint") * _POSITIONS + F.col("pos")
+    firsts = entries.groupBy(key, "list", "item").agg(F.min(place).alias("place"))
+
+    def listed(field: str) -> Column:
+        mine = F.collect_list(F.when(F.col("list") == field, F.struct("place", "item")))
+        return F.transform(F.array_sort(mine), lambda e: e["item"]).alias(field)
+
+    return firsts.groupBy(key).agg(*[listed(f) for f in LIST_FIELDS])
 
 
 def upsert(

@@ -163,18 +163,33 @@ def rank_within(
     return running_totals(df, by, order, {name: F.lit(1).cast("bigint")}, **kwargs)
 
 
+def with_smallest(
+    df: DataFrame, by: Sequence[str], value: str | Column, name: str, largest: int,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """`df` plus the smallest `value` of each group, by window or by aggregate and join."""
+    if largest <= hot_rows:
+        return df.withColumn(name, F.min(value).over(Window.partitionBy(*by)))
+    return join_groups(df, df.groupBy(*by).agg(F.min(value).alias(name)), by)
+
+
 def with_previous(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     previous: Mapping[str, str],
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """`df` plus columns of the row before it in its group; `previous` maps new to source."""
-    if largest_group(df, by) <= hot_rows:
+    if largest is None:
+        largest = largest_group(df, by)
+    if largest <= hot_rows:
         window = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[F.lag(s).over(window).alias(n) for n, s in previous.items()])
-    ranked = cut_lineage(rank_within(df, by, order, "_wp_rank", hot_rows=hot_rows))
+    ranked = cut_lineage(
+        rank_within(df, by, order, "_wp_rank", hot_rows=hot_rows, largest=largest)
+    )
     earlier = ranked.select(
         *[F.col(c).alias(f"_wp_b_{c}") for c in by],
         (F.col("_wp_rank") + 1).alias("_wp_b_rank"),

@@ -26,7 +26,6 @@ from doorstep.functions.urls import (
     name_match,
     parent_domains,
 )
-from doorstep.session import spread
 
 
 def classified_urls(
@@ -191,7 +190,6 @@ def extracted_contacts(
     rules: ContactRules = ContactRules(),
 ) -> DataFrame:
     """One row per named contact in each document's text."""
-    documents = spread(documents.select(*keep, text), *keep)
     found = documents.select(*keep, line_facts(F.col(text), rules).alias("_facts")).select(
         *keep, contacts_from_facts(F.col("_facts")).alias("_found")
     )

@@ -58,15 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all task slots when the input has fewer pieces than that.
-
-    For work that is heavy per row on a table in a few files. A table in many files has
-    pieces enough and is left as it is: no shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)

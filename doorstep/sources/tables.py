@@ -19,6 +19,19 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
 
 
+def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """A parquet table whose rows are spread over all task slots.
+
+    For work that is heavy per row. A table in fewer pieces than there are slots is
+    repartitioned by its keys; a table in many files is read as it is, without a shuffle.
+    """
+    table = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= slots:
+        return table
+    return table.repartition(slots, *keys)
+
+
 def write_table(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None:
     df.select(*table_schema(name).names).write.mode(mode).parquet(f"{folder}/{name}")
 
