@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from doorstep.functions.text import stripped
+
 # The accepted spellings.
 TRUE_TOKENS = ("true", "t", "yes", "y", "1")
 FALSE_TOKENS = ("false", "f", "no", "n", "0")
@@ -40,7 +42,7 @@ def as_list(value: Column) -> Column:
     trimmed = F.trim(value)
     blank = F.array().cast("array<string>")
     listed = F.filter(
-        F.transform(F.from_json(trimmed, "array<string>"), lambda item: F.trim(item)), lambda item: item != ""
+        F.transform(F.from_json(trimmed, "array<string>"), stripped), lambda item: item != ""
     )
     pairs = F.from_json(trimmed, "map<string,string>")
     mapped = F.transform(
@@ -64,5 +66,5 @@ def yes_no(value: Column) -> Column:
 
 def joined(values: Column) -> Column:
     """Non-blank entries joined with `; `; NULL when nothing is left."""
-    kept = F.filter(F.transform(values, lambda item: F.trim(item)), lambda item: item != "")
+    kept = F.filter(F.transform(values, stripped), lambda item: item != "")
     return F.nullif(F.array_join(kept, "; "), F.lit(""))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doorstep.functions.text import let
+from doorstep.functions.text import let, stripped
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def line_facts(text: Column, rules: ContactRules = ContactRules()) -> Column:
     lines = F.filter(
         F.transform(
             F.split(F.coalesce(text, F.lit("")), LINE_BREAK),
-            lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""),
+            stripped,
         ),
         lambda line: (line != "") & ~line.rlike(rules.heading),
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doorstep.functions.text import any_marker, let
+from doorstep.functions.text import any_marker, let, stripped
 from doorstep.functions.urls import host, path_parts, under_any
 
 
@@ -53,12 +53,12 @@ def site_grade(text: Column, markers: SiteMarkers = SiteMarkers()) -> Column:
             any_marker(lowered, markers.enquiry).alias("enquiry"),
             any_marker(lowered, markers.ordering).alias("ordering"),
             F.when(
-                text.rlike(markers.html),
+                text.contains("<") & text.rlike(markers.html),
                 width.rlike(markers.device_width) | text.rlike(markers.media_query),
             ).alias("mobile_friendly"),
         ),
     )
-    readable = F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) >= markers.min_chars
+    readable = F.length(stripped(text)) >= markers.min_chars
     return F.when(readable, let(traits, lambda t: _graded(t, dict(markers.weights))))
 
 
@@ -104,7 +104,7 @@ class AdPageMarkers:
 def ad_page(text: Column, markers: AdPageMarkers = AdPageMarkers()) -> Column:
     """Struct of status, runs_ads (tri-state) and ad_count."""
     short = text.isNull() | (
-        F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < markers.min_chars
+        F.length(stripped(text)) < markers.min_chars
     )
 
     def read(lowered: Column) -> Column:

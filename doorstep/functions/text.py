@@ -10,6 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Everything that counts as white space at the ends of a text.
+WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+
+
+def stripped(value: Column) -> Column:
+    """Text without white space at either end; empty rather than NULL when nothing is left."""
+    return F.btrim(value, F.lit(WHITE_SPACE))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with the value computed once, however often `use` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -27,7 +36,7 @@ def first_present(*values: Column) -> Column:
 
 def trimmed(value: Column) -> Column:
     """Trimmed text; NULL when nothing but white space is left."""
-    return present(F.regexp_replace(value, r"^\s+|\s+$", ""))
+    return present(stripped(value))
 
 
 def squeezed(value: Column) -> Column:

@@ -38,7 +38,8 @@ def nearest(
     scored = stored.join(wanted, "scope").select(
         "question_id", "memory_id", "scope", dot(F.col("_m"), F.col("_q")).alias("similarity")
     )
-    return first_n_within(
-        scored.where(F.col("similarity").isNotNull()), ["question_id"],
-        [F.desc("similarity"), F.asc("memory_id")], k,
+    ranked = first_n_within(
+        scored, ["question_id"], [F.desc_nulls_last("similarity"), F.asc("memory_id")], k
     )
+    # Zero vectors rank last; dropping them here keeps the product out of the join condition.
+    return ranked.where(F.col("similarity").isNotNull())

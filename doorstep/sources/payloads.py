@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from doorstep.functions.casts import as_float
 from doorstep.functions.pages import clean_handle
-from doorstep.functions.text import present, trimmed
+from doorstep.functions.text import present, stripped, trimmed
 from doorstep.sources.schemas import FETCH_RESPONSE, LISTING_PLACE, SEARCH_RESPONSE
 
 # The sentinel name, the listing link and the envelope keys.
@@ -67,7 +67,7 @@ def listing_rows(responses: DataFrame, raw: str = "raw", keep: tuple[str, ...] =
         F.filter(
             F.transform(
                 F.coalesce(F.col("p.types"), F.array().cast("array<string>")),
-                lambda t: F.trim(t),
+                stripped,
             ),
             lambda t: t != "",
         ).alias("raw_categories"),
