@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from doorstep.functions.casts import as_float
 from doorstep.functions.pages import clean_handle
-from doorstep.functions.text import present, stripped, trimmed
+from doorstep.functions.text import let, present, stripped, trimmed
 from doorstep.sources.schemas import FETCH_RESPONSE, LISTING_PLACE, SEARCH_RESPONSE
 
 # The sentinel name, the listing link and the envelope keys.
@@ -28,25 +28,27 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _kind(raw: Column, path: str) -> Column:
-    """JSON type at a path, as a schema string; NULL where nothing is."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
+# Every part of an envelope as its raw text, from one pass over the response.
+_ENVELOPE = ", ".join(f"{key} string" for key in ("local_results", *ENVELOPE_KEYS))
 
 
 def listing_pages(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds `page_ok`: a page with results, or with an envelope and none."""
-    results = _kind(F.col(raw), "$.local_results")
-    enveloped = F.lit(False)
-    for key in ENVELOPE_KEYS:
-        enveloped = enveloped | _kind(F.col(raw), f"$.{key}").isNotNull()
-    absent = results.isNull() | (results == "VOID")
-    return responses.withColumn(
-        "page_ok", F.coalesce(results.startswith("ARRAY"), F.lit(False)) | (absent & enveloped)
+    """Adds `results` (raw text) and `page_ok`: a page with results, or an envelope without."""
+    results = F.col("_envelope.local_results")
+    enveloped = F.coalesce(*[F.col(f"_envelope.{key}") for key in ENVELOPE_KEYS]).isNotNull()
+    return (
+        responses.withColumn("_envelope", F.from_json(raw, _ENVELOPE))
+        .withColumn(
+            "page_ok",
+            F.when(results.isNull(), enveloped).otherwise(F.ltrim(results).startswith("[")),
+        )
+        .withColumn("results", results)
+        .drop("_envelope")
     )
 
 
 def rejected_pages(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    return listing_pages(responses, raw).where(~F.coalesce("page_ok", F.lit(False))).drop("page_ok")
+    return listing_pages(responses, raw).where(~F.col("page_ok")).drop("page_ok", "results")
 
 
 def listing_rows(responses: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -54,9 +56,7 @@ def listing_rows(responses: DataFrame, raw: str = "raw", keep: tuple[str, ...] =
     pages = listing_pages(responses, raw).where("page_ok")
     places = pages.select(
         *keep,
-        F.posexplode(
-            F.from_json(F.get_json_object(raw, "$.local_results"), f"array<{LISTING_PLACE}>")
-        ).alias("pos", "p"),
+        F.posexplode(F.from_json("results", f"array<{LISTING_PLACE}>")).alias("pos", "p"),
     )
     place_id = trimmed(F.col("p.place_id"))
     return places.select(
@@ -147,61 +147,66 @@ MISSING = "(?i)not found|no longer available|doesn't exist|does not exist|user n
 def profile_rows(responses: DataFrame, raw: str = "raw", handle: str = "handle",
                  gated: str = GATED, missing: str = MISSING) -> DataFrame:
     """Adds status, reason and the profile's fields; any text gives a row, none fails."""
+    kept = [c for c in responses.columns if c not in (raw, handle)]
     text = F.col(raw)
-    body = F.try_parse_json(text)
-    name = clean_handle(F.col(handle))
+    finding = let(
+        F.try_parse_json(text),
+        lambda body: let(
+            _profile_reason(text, body, clean_handle(F.col(handle)), gated, missing),
+            lambda reason: _profile(body, reason),
+        ),
+    )
+    return responses.select(
+        *kept, F.coalesce(clean_handle(F.col(handle)), F.col(handle)).alias("handle"),
+        finding.alias("_finding"),
+    ).select(*kept, "handle", "_finding.*")
+
+
+def _kind(body: Column, path: str) -> Column:
+    """JSON type at a path, as a schema string; NULL where nothing is."""
+    return F.schema_of_variant(F.try_variant_get(body, path, "variant"))
 
-    def kind(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(body, path, "variant"))
 
-    user = F.coalesce(kind("$.data.user").startswith("OBJECT"), F.lit(False))
+def _profile_reason(text: Column, body: Column, name: Column, gated: str, missing: str) -> Column:
+    """Why a response holds no profile; NULL when it does."""
     message = F.when(
-        kind("$.message") == "STRING", F.try_variant_get(body, "$.message", "string")
+        _kind(body, "$.message") == "STRING", F.try_variant_get(body, "$.message", "string")
     ).otherwise("")
-    reason = (
+    return (
         F.when(name.isNull(), "not a valid handle")
         .when(trimmed(text).isNull(), "empty response")
         .when(body.isNull() & text.rlike(gated), "challenge or rate-limit page")
         .when(body.isNull(), "response was not valid JSON")
-        .when(~F.coalesce(kind("$").startswith("OBJECT"), F.lit(False)), "unexpected shape")
-        .when(user, None)
-        .when(message.rlike(gated) | text.rlike(gated), "challenge or rate-limit response")
+        .when(~F.coalesce(_kind(body, "$").startswith("OBJECT"), F.lit(False)), "unexpected shape")
+        .when(F.coalesce(_kind(body, "$.data.user").startswith("OBJECT"), F.lit(False)), None)
+        .when(text.rlike(gated), "challenge or rate-limit response")
         .when(message.rlike(missing), "account not found")
         .otherwise("no user data")
     )
+
+
+def _profile(body: Column, reason: Column) -> Column:
+    """Struct of status, reason and the profile's fields."""
+
+    def user(path: str, kind: str, as_type: str) -> Column:
+        at = f"$.data.user.{path}"
+        fits = reason.isNull() & (_kind(body, at) == kind)
+        return F.when(fits, F.try_variant_get(body, at, as_type))
+
     status = (
         F.when(reason.isNull(), "ok")
         .when(reason.startswith("challenge"), "blocked")
         .when(reason == "account not found", "no_data")
         .otherwise("error")
     )
-
-    def count(edge: str) -> Column:
-        path = f"$.data.user.{edge}.count"
-        return F.when(kind(path) == "BIGINT", F.try_variant_get(body, path, "bigint"))
-
-    def string(key: str) -> Column:
-        path = f"$.data.user.{key}"
-        return F.when(kind(path) == "STRING", trimmed(F.try_variant_get(body, path, "string")))
-
-    ok = reason.isNull()
-    fields = {
-        "followers": count("edge_followed_by"),
-        "following": count("edge_follow"),
-        "posts": count("edge_owner_to_timeline_media"),
-        "bio": string("biography"),
-        "external_url": string("external_url"),
-        "is_private": F.when(
-            kind("$.data.user.is_private") == "BOOLEAN",
-            F.try_variant_get(body, "$.data.user.is_private", "boolean"),
-        ),
-        "category": string("category_name"),
-    }
-    kept = [c for c in responses.columns if c not in (raw, handle)]
-    return responses.select(
-        *kept,
-        F.coalesce(name, F.col(handle)).alias("handle"),
+    return F.struct(
         status.alias("status"),
         reason.alias("reason"),
-        *[F.when(ok, value).alias(key) for key, value in fields.items()],
+        user("edge_followed_by.count", "BIGINT", "bigint").alias("followers"),
+        user("edge_follow.count", "BIGINT", "bigint").alias("following"),
+        user("edge_owner_to_timeline_media.count", "BIGINT", "bigint").alias("posts"),
+        trimmed(user("biography", "STRING", "string")).alias("bio"),
+        trimmed(user("external_url", "STRING", "string")).alias("external_url"),
+        user("is_private", "BOOLEAN", "boolean").alias("is_private"),
+        trimmed(user("category_name", "STRING", "string")).alias("category"),
     )

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from doorstep.operators.cells import HOT_AT, REVIVE_AFTER_DAYS
 from doorstep.operators.observe import BACKOFF_DAYS
 
+# The processors travel with the job, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELL_STATE = "status string, next_page bigint, total_yield bigint, at bigint"
 CELL_OUTPUT = (
     "cell_id bigint, searched_at timestamp, status string, next_page bigint, "
