@@ -1,8 +1,8 @@
 """Latest rows, ranks and running totals that hold up when one group has most of the rows.
 
 A window puts a whole group into one task. That is the best plan while groups are small, so
-group sizes are measured first. Past `hot_rows` the group is cut into pieces along its own
-order: every piece is ranked by itself and pieces are joined up by their totals.
+group sizes are measured first. Past `hot_rows` all rows are cut into ranges along group and
+order: every range is ranked by itself and ranges are joined up by their totals.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from doorstep.session import cut_lineage
 
 HOT_ROWS = 5_000_000
-PIECES = 96
 
 
 def latest_per_key(
@@ -78,7 +77,6 @@ def running_totals(
     order: Sequence[Column],
     totals: Mapping[str, Column],
     hot_rows: int = HOT_ROWS,
-    pieces: int = PIECES,
     largest: int | None = None,
 ) -> DataFrame:
     """`df` plus inclusive running sums of `totals` along `order` within each group.
@@ -106,25 +104,12 @@ def running_totals(
         *[expr.alias(name) for name, expr in zip(names, order)],
         *[expr.alias(f"_rt_t_{name}") for name, expr in totals.items()],
     )
-    keyed = cut_lineage(keyed)
-    place = F.struct(*names)
-
-    # Rows picked by a hash of their own order values mark where pieces begin. The choice
-    # depends on the data alone, so a lost task recomputes the same pieces.
-    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_rt_size")).where(F.col("_rt_size") > hot_rows)
-    every = F.greatest(F.lit(1).cast("bigint"), (F.col("_rt_size") / pieces).cast("bigint"))
-    sampled = (
-        join_groups(keyed, sizes, group, "inner")
-        .where(F.pmod(F.xxhash64(*names), every) == 0)
-        .select(*group, place.alias("_rt_mark"))
-    )
-    marks = sampled.groupBy(*group).agg(F.array_sort(F.collect_list("_rt_mark")).alias("_rt_marks"))
-    placed = join_groups(keyed, marks, group).select(
-        *keyed.columns,
-        F.when(F.col("_rt_marks").isNull(), 0)
-        .otherwise(F.size(F.filter("_rt_marks", lambda mark: mark <= place)))
-        .alias("_rt_piece"),
-    )
+    # Ranges are cut by row counts, so a hot group spans many of them. The range number is
+    # stored with the rows: whatever is computed again later sees the same pieces.
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * largest // hot_rows)
+    ranged = keyed.repartitionByRange(count, *group, *names)
+    placed = cut_lineage(ranged.withColumn("_rt_piece", F.spark_partition_id()))
 
     per_piece = placed.groupBy(*group, "_rt_piece").agg(
         *[F.sum(f"_rt_t_{name}").alias(f"_rt_p_{name}") for name in totals]
@@ -137,7 +122,7 @@ def running_totals(
     offsets = per_piece.select(
         *group, "_rt_piece",
         *[F.sum(f"_rt_p_{name}").over(before).alias(f"_rt_p_{name}") for name in totals],
-    ).where(F.col("_rt_piece") > 0)
+    )
     inside = (
         Window.partitionBy(*group, "_rt_piece")
         .orderBy(*names)
