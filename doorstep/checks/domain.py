@@ -43,7 +43,6 @@ OFFERS = (
           ("signup", "click", "purchase"), 4.0),
     Offer("greeting", "Greeting", ("automobile",), ("signup",), 1.0),
 )
-SCOPES = {"min_cohort": 30}
 
 
 def slug_sql(value: str) -> str:
