@@ -194,3 +194,28 @@ def offer_niche_table(spark: SparkSession, offers: tuple[Offer, ...] = OFFERS) -
 def offer_signal_table(spark: SparkSession, offers: tuple[Offer, ...] = OFFERS) -> DataFrame:
     rows = [(o.id, i, s) for o in offers for i, s in enumerate(o.signals)]
     return spark.createDataFrame(rows, "offer_id string, position int, signal string")
+
+
+def profile_payload(spark: SparkSession, profiles: tuple[Profile, ...]) -> DataFrame:
+    """The registry as one flat row per category, types in alphabetical order."""
+    rows = [
+        (p.id, p.label, list(p.queries), sorted(p.include_types), sorted(p.exclude_types),
+         list(p.include_suffixes), list(p.exclude_suffixes))
+        for p in profiles
+    ]
+    return spark.createDataFrame(
+        rows,
+        "id string, label string, queries array<string>, include_types array<string>, "
+        "exclude_types array<string>, include_suffixes array<string>, "
+        "exclude_suffixes array<string>",
+    )
+
+
+def offer_payload(spark: SparkSession, offers: tuple[Offer, ...] = OFFERS) -> DataFrame:
+    """The offer catalogue as one flat row per offer."""
+    rows = [(o.id, o.label, list(o.niches), list(o.signals), o.pitch, o.hours) for o in offers]
+    return spark.createDataFrame(
+        rows,
+        "id string, label string, niches array<string>, required_signals array<string>, "
+        "pitch_line string, est_hours_saved_weekly double",
+    )

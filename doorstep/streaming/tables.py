@@ -49,7 +49,7 @@ def changelog(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def current(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
     """The latest row of every key in a changelog."""
-    log = spark.read.option("recursiveFileLookup", False).parquet(path)
+    log = spark.read.parquet(path)
     rest = [c for c in log.columns if c not in key and c != "batch"]
     return latest_per_key(log, list(key), ["batch"], rest)
 
