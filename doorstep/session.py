@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +37,25 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is configured (tests)."""
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
+
+    Only a session whose executors are threads of the driver may go without one: there a
+    temporary folder is shared by definition. Anywhere else that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="doorstep-")
 
 
