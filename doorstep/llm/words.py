@@ -100,7 +100,7 @@ def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     hashes = words.hashes
     count = np.diff(words.edge)
     n = len(hashes)
-    windows = hashes.copy()
+    windows = mix(hashes)  # so that the order of words counts
     for k in range(1, width):
         windows[: n - k] = mix(windows[: n - k] + hashes[k:])
     last = np.repeat(words.edge[1:], count)
