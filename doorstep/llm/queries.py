@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorstep.llm import bpe, jaccard, lines, toxicity
+from doorstep.llm import bpe, chat, fixity, hnsw, jaccard, lines, mixing, rules, toxicity
 from doorstep.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,148 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_T = chat.Template()
+_CONTROL = "|".join(
+    m.replace("[", "\\[").replace("]", "\\]").replace("|", "\\|") for m in sorted({_T.begin, _T.end, *_T.more})
+)
+_MARKS = len(_T.begin + _T.role_open + _T.role_close + _T.end)
+
+
+def escaped_sql(text: str) -> str:
+    """Characters of a text after escaping: one more per backslash and per control string."""
+    return (
+        f"(length({text}) + length({text}) - length(replace({text}, chr(92), '')) "
+        f"+ len(regexp_extract_all({text}, '{_CONTROL}')))"
+    )
+
+
+@query("op1_chat_format", f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), ''))
+            AS loss_sha256,
+        CAST(sum({_MARKS} + {escaped_sql("role")} + {escaped_sql("text")}) AS BIGINT) AS formatted_chars
+    FROM turns GROUP BY conv_id
+""")
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat.turns_of_table(table(spark, folder, "conversations"))
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(chat.format_turns(turns.unionByName(own)))
+
+
+_FAILS = " OR ".join(f"({r.fails})" for r in rules.RULES if rules.POLICIES[-1].mask >> r.bit & 1)
+_BASE = " OR ".join(f"({r.fails})" for r in rules.RULES if rules.BASE >> r.bit & 1)
+
+
+@query("op7_quality_rules", f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+    ), split AS (
+        SELECT row, doc_id, text,
+            list_filter(regexp_split_to_array(text, '{SPACES}+'), lambda x: x <> '') AS words,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM docs
+    ), windows AS (
+        SELECT row, i, words[i : i + 2] AS w
+        FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM split)
+    ), again AS (
+        SELECT row, unnest(list(i)) AS i FROM windows GROUP BY row, w HAVING count(*) >= 2
+    ), covered AS (
+        SELECT row, count(DISTINCT p) AS n
+        FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY row
+    ), measured AS (
+        SELECT s.row, doc_id, CAST(len(words) AS BIGINT) AS n_words,
+            CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+            CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            CAST(len(lines) AS BIGINT) AS n_lines,
+            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+            CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+            len(regexp_extract_all(text, '[A-Z]')) AS n_capitals,
+            len(regexp_extract_all(text, '!!|[?][?]')) AS n_stress,
+            len(regexp_extract_all(text, '[0-9]')) AS n_digits
+        FROM split s LEFT JOIN covered c ON s.row = c.row
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        {_BASE} AS base_failed, NOT ({_FAILS}) AS kept
+    FROM measured
+""")
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rules.ledger(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        rules.rejected_by(rules.POLICIES[0]).alias("base_failed"),
+        (~rules.rejected_by(rules.POLICIES[-1])).alias("kept"),
+    )
+
+
+#: Shares of the mix by source; the sources without one share what is left.
+WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.02}
+SEED = 17
+_POOL = "CASE WHEN source IN (" + ", ".join(f"'{s}'" for s in WEIGHTS) + ") THEN source ELSE '' END"
+_TARGET = (
+    "CASE pool " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in WEIGHTS.items())
+    + f" ELSE {1.0 - sum(WEIGHTS.values())!r} END"
+)
+
+
+@query("op8_mix_sources", f"""
+    WITH sums AS (
+        SELECT {_POOL} AS pool, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY 1
+    ), rated AS (
+        SELECT pool, CAST({_TARGET} AS DOUBLE) * 1.0 * (SELECT sum(chars) FROM sums)::DOUBLE / chars::DOUBLE AS rate
+        FROM sums WHERE chars > 0
+    ), terms AS (
+        SELECT pool, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rated
+    ), p AS (
+        SELECT pool, k, exp((CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END) - rate - lgamma(k + 1)) AS p FROM terms
+    ), steps AS (
+        SELECT pool, list(below ORDER BY k) AS steps FROM (
+            SELECT pool, k, sum(p) OVER (PARTITION BY pool ORDER BY k) AS below FROM p
+        ) GROUP BY pool
+    ), drawn AS (
+        SELECT doc_id, source, steps,
+            CAST('0x' || substr(md5('{SEED}:' || doc_id || ':'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 AS u
+        FROM documents JOIN steps ON pool = {_POOL}
+    )
+    SELECT doc_id, source, CAST(copy AS INTEGER) AS copy,
+        md5('{SEED}:place:' || doc_id || ':' || copy) AS place
+    FROM (
+        SELECT doc_id, source, unnest(range(1, len(list_filter(steps, lambda s: s <= u)) + 1)) AS copy FROM drawn
+    )
+""")
+def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mix(docs, WEIGHTS, seed=SEED).select("doc_id", "source", "copy", "place")
+
+
+@query("op5_nearest_vectors")
+def op5_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.nearest(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op6_fixity_audit", """
+    SELECT CAST(page_id // 1000 AS BIGINT) AS file, page_id,
+        CASE WHEN page_id % 89 = 7 THEN 'lost' ELSE 'changed' END AS fault
+    FROM pages WHERE page_id % 89 = 7 OR page_id % 97 = 5
+""")
+def op6_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as an archive against a replica in which some pages are lost and others have rotted."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    rotten = F.concat(F.coalesce("html", F.lit("")), F.lit("\x00"))
+    replica = pages.where("page_id IS NULL OR page_id % 89 <> 7").withColumn(
+        "html", F.when(F.col("page_id") % 97 == 5, rotten).otherwise(F.col("html"))
+    )
+    ours, theirs = (fixity.archived(p) for p in (pages, replica))
+    return fixity.located(fixity.tree(ours), fixity.tree(theirs), ours, theirs)
