@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorstep.llm import bpe, chat, fixity, hnsw, jaccard, lines, mixing, rules, toxicity
+from doorstep.llm import bpe, chat, fixity, hnsw, jaccard, lines, maxent, mixing, rules, toxicity
 from doorstep.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,8 @@ def op6_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
     )
     ours, theirs = (fixity.archived(p) for p in (pages, replica))
     return fixity.located(fixity.tree(ours), fixity.tree(theirs), ours, theirs)
+
+
+@query("op4_maxent_scores")
+def op4_maxent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score_texts(table(spark, folder, "documents").select("doc_id", "text"))
