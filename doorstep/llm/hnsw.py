@@ -34,7 +34,7 @@ class Graph:
     build: int = 48
     search: int = 96
     block: int = 256
-    shards: int | None = None  # default: the session's shuffle partitions
+    shards: int = 16  # a shard's vectors and graph must fit a task
 
 
 def usable(vector: Column) -> Column:
@@ -236,8 +236,7 @@ def _build(graph: Graph):
 
 def index(vectors: DataFrame, graph: Graph = Graph(), top: int = 20) -> DataFrame:
     """One row per (shard, width of vectors) from `vec_id`, `embedding`. Every usable row is in it."""
-    spark = vectors.sparkSession
-    shards = graph.shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = graph.shards
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         "vec_id", F.transform("embedding", lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("vector")
     )
@@ -248,7 +247,7 @@ def index(vectors: DataFrame, graph: Graph = Graph(), top: int = 20) -> DataFram
         F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"),
         F.size("vector").alias("width"), F.xxhash64("vector", F.lit(1)).alias("place"), "vector", "ids",
     )
-    return nodes.groupBy("shard", "width").applyInArrow(_build(graph), INDEX)
+    return nodes.repartition(shards, "shard").groupBy("shard", "width").applyInArrow(_build(graph), INDEX)
 
 
 def _search(graph: Graph, top: int):
@@ -319,7 +318,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, graph: Graph = G
     queries = vectors.where((F.col("vec_id") % every == 0) & usable(F.col("embedding"))).select(
         F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("float")).alias("query")
     ).dropDuplicates(["query_id", "query"])
-    shards = graph.shards or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = graph.shards
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "query")
     whole = found_index.unionByName(asked, allowMissingColumns=True)
     dealt = whole.repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
