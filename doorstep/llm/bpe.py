@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from doorstep.llm.store import pieces
 
@@ -231,7 +232,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
             )
 
     base = docs.drop(ids)
-    return base.mapInArrow(run, base.schema.add(ids, "array<int>"))
+    kind = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    return base.mapInArrow(run, kind)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -248,7 +250,8 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "deco
             )
 
     base = rows.drop(text)
-    return base.mapInArrow(run, base.schema.add(text, "string"))
+    kind = T.StructType([*base.schema.fields, T.StructField(text, T.StringType())])
+    return base.mapInArrow(run, kind)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
