@@ -184,12 +184,16 @@ class _Join:
         )
 
     def may_link(self, a: str, b: str) -> Column:
-        """Length and positional filter for two prefix entries of one n-gram."""
+        """Length and positional filter for two prefix entries of one n-gram.
+
+        At the first n-gram two sets share nothing was shared before, so what follows in both
+        bounds the intersection there; a pair that is alike passes at that n-gram at least.
+        """
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         rest = 1 + F.least(n - F.col(f"{a}.pos") - 1, m - F.col(f"{b}.pos") - 1)
         return (
             (F.least(n, m).cast("bigint") * self.den >= F.greatest(n, m).cast("bigint") * self.num)
-            & _reaches(rest + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos")), n + m, self.num, self.den)
+            & _reaches(rest, n + m, self.num, self.den)
         )
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -262,8 +266,15 @@ class _Join:
         second = stored(second.join(known, ["x", "y"], "left_anti"), "ngram-pairs")
         if second.isEmpty():
             return roots
+        # One link between two components says what any number of them would.
         more = self.verified(second)
-        return components(links.union(more))
+        for end in ("a", "b"):
+            side = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            more = more.join(side, end, "left")
+        between = more.select(
+            F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+        ).distinct()
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(between))
 
 
 def similar_texts(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from doorstep.llm.store import stored
 from doorstep.llm.words import mix
 
-STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARDS = 4096
 LEVEL_SEED = 0x51ED270B
@@ -31,15 +31,14 @@ LEVEL_SEED = 0x51ED270B
 
 def line_key(line: Column) -> Column:
     """The line without white space at both ends, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, STRIP, ""), UPPER, LOWER)
+    return F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def hashes_of(line: Column) -> Column:
-    key = line_key(line)
+def hashes_of(key: Column) -> Column:
     return F.struct(
         F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"),
         F.char_length(key).alias("n"),
@@ -149,7 +148,9 @@ def shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: in
     probes = (
         docs.select(
             "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-            F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), hashes_of))).alias("_k"),
+            F.explode(F.array_distinct(
+                F.transform(F.transform(lines_of(F.col("text")), line_key), hashes_of)
+            )).alias("_k"),
         )
         .where(F.col("_k.n") >= shortest)
         .select("doc_id", "text_hash", F.col("_k.a").alias("a"), F.col("_k.b").alias("b"))
@@ -197,12 +198,14 @@ def dedup_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int
     )
     joined = docs.join(found, same, "left")
 
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return ~F.array_contains(
+    def goes(key: Column) -> Column:
+        return F.array_contains(
             F.col("_drop"), F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
         )
 
+    def stays(line: Column) -> Column:
+        return ~F.exists(F.array(line_key(line)), goes)
+
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, stays))
     return joined.select(*columns, F.size(lines).cast("bigint").alias("n_lines"), kept.alias("_kept")).select(
         *columns, F.array_join("_kept", "\n").alias("kept_text"), "n_lines",

@@ -232,3 +232,12 @@ def op6_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_maxent_scores")
 def op4_maxent_scores(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.score_texts(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus pipeline at the repository's top, over all its stages."""
+    from corpus_pipeline import run
+
+    rows = run(spark, folder)
+    return rows.select("doc_id", "source", "n_chars", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
