@@ -78,7 +78,7 @@ def listing_rows(responses: DataFrame, raw: str = "raw", keep: tuple[str, ...] =
         trimmed(F.col("p.website")).alias("website"),
         place_id.alias("provider_id"),
         F.concat(F.lit(PLACE_LINK), place_id).alias("source_url"),
-        as_float(F.col("p.reviews")).cast("bigint").alias("reviews"),
+        as_float(F.col("p.reviews")).try_cast("bigint").alias("reviews"),
         as_float(F.col("p.rating")).alias("rating"),
     )
 
