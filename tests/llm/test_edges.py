@@ -53,6 +53,24 @@ def test_one_of_each(docs):
     assert jaccard.similar_texts(docs.limit(0)).count() == 0
 
 
+def test_forest_joins_what_the_links_join():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40, 300):
+        a, b = rng.integers(-n, n, 2 * n), rng.integers(-n, n, 2 * n)
+        top = {int(v): int(v) for v in (*a, *b)}
+
+        def root(v):
+            while top[v] != v:
+                v = top[v]
+            return v
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            rx, ry = root(x), root(y)
+            top[max(rx, ry)] = min(rx, ry)
+        node, to = components.forest(a, b)
+        assert dict(zip(node.tolist(), to.tolist())) == {v: root(v) for v in top if root(v) != v}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (9, 8), (8, 7), (7, 6), (5, 5)], "a long, b long")
     assert {tuple(r) for r in components.components(links).collect()} == {(2, 1), (3, 1), (7, 6), (8, 6), (9, 6)}
