@@ -7,9 +7,10 @@ the first |x| - ceil(t|x|) + 1 of each, so only those prefixes are joined.
    Any order that is the same for all texts keeps the join exact; the counts make it rare-first.
 2. Each text gives its set's identity (equal sets are one node from here on), size, ordered
    prefix, and how many of its n-grams fall into each of 64 ranges of hashes.
-3. A prefix n-gram with many sets is not expanded into pairs: its sets are compared with one of
-   them, the leader. Linked sets then form components, and a second round compares only sets of
-   different components: per n-gram, those outside its largest component with all others. A
+3. A prefix n-gram with many sets is not expanded into pairs: one of them is its leader, and a
+   set is compared with two of its n-grams' leaders. Linked sets then form components, and a
+   second round compares all sets of different components: per n-gram, those outside its
+   largest component with all others. A
    pair inside a component can change nothing. So no link between components is lost and a
    group of near copies costs as much as its size.
 4. Pairs pass the length filter, the positional filter (what can still be shared after this
@@ -173,12 +174,18 @@ class _Join:
         )
 
     def shared_grams(self) -> DataFrame:
-        """Prefix n-grams that at least two sets have, with their leader (smallest identity)."""
+        """Prefix n-grams that at least two sets have, with their leader.
+
+        The leader is the set in whose order the n-gram comes first, so that the positional
+        filter leaves it as many partners as can be.
+        """
         grams = self.signs.where("sid IS NOT NULL").select(
             "sid", "n", F.posexplode("prefix").alias("pos", "gram")
         )
-        ends = grams.groupBy("gram").agg(F.min("sid").alias("lead"), F.max("sid").alias("other"))
-        ends = ends.where("lead <> other").select("gram", "lead")
+        ends = grams.groupBy("gram").agg(
+            F.min(F.struct("pos", "sid")).alias("lead"), F.min("sid").alias("least"), F.max("sid").alias("most")
+        )
+        ends = ends.where("least <> most").select("gram", F.col("lead.sid").alias("lead"))
         return stored(
             grams.join(ends.hint("shuffle_hash"), "gram").dropDuplicates(["gram", "sid"]), "ngram-shared"
         )
@@ -234,9 +241,16 @@ class _Join:
         """`node`, `root` of every set that is linked and is not the smallest of its component."""
         shared = self.shared_grams()
         leaders = shared.where("sid = lead").select("gram", "sid", "n", "pos")
-        first = stored(
+        # A set's leaders are many where copies differ in many places. Two of them are enough
+        # here: the one met at most n-grams and the smallest. The second round sees to the rest.
+        met = (
             shared.alias("p").join(leaders.alias("q"), (F.col("p.gram") == F.col("q.gram")) & self.may_link("p", "q"))
-            .where("p.sid <> q.sid").select(F.col("q.sid").alias("x"), F.col("p.sid").alias("y")).distinct(),
+            .where("p.sid <> q.sid").select(F.col("q.sid").alias("x"), F.col("p.sid").alias("y"))
+            .groupBy("y", "x").agg(F.count(F.lit(1)).alias("times"))
+        )
+        first = stored(
+            met.groupBy("y").agg(F.max(F.struct("times", "x")).alias("most"), F.min("x").alias("least"))
+            .select(F.explode(F.array_distinct(F.array("most.x", "least"))).alias("x"), "y"),
             "ngram-pairs",
         )
         links = self.verified(first)
