@@ -211,7 +211,7 @@ def _(d: Domain):
 )
 def _(d: Domain):
     stored = d.table("customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("status"))
-    incoming = d.table("orders").select((F.col("o_custkey") * 2).alias("cell"), F.lit("pending").alias("status")).distinct()
+    incoming = d.table("orders").select((F.col("o_custkey") * 2).alias("cell"), F.lit("pending").alias("status"))
     return identity.insert_if_absent(stored, incoming, ["cell"])
 
 

@@ -48,6 +48,34 @@ def scrubbed_query(
     return F.when(text.contains("?") & text.contains("="), F.concat(head, clean)).otherwise(text)
 
 
+def _without_containers(text: Column, names: str, mark: str) -> Column:
+    """`text` with every list or object of a secret name replaced, by counting brackets."""
+    tokens = F.regexp_extract_all(
+        text, F.lit(r'("(?:[^"\\]|\\.)*+"|[\[\]{}]|[^"\[\]{}]++|")'), F.lit(1)
+    )
+    start = F.struct(
+        F.lit("").alias("out"), F.lit(0).alias("inside"),
+        F.lit("").alias("name"), F.lit("").alias("before"),
+    )
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes = token.isin("[", "{"), token.isin("]", "}")
+        begins = (
+            opens & (F.trim(state["before"]) == ":") & state["name"].rlike(f'(?i)^"(?:{names})"$')
+        )
+        deep = state["inside"] > 0
+        return F.struct(
+            F.when(deep, state["out"]).otherwise(
+                F.concat(state["out"], F.when(begins, f'"{mark}"').otherwise(token))
+            ).alias("out"),
+            F.when(deep, state["inside"] + opens.cast("int") - closes.cast("int"))
+            .otherwise(begins.cast("int")).alias("inside"),
+            state["before"].alias("name"), token.alias("before"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: s["out"])
+
+
 def scrubbed_json(
     payload: Column,
     fields: tuple[str, ...] = SECRET_FIELDS,
@@ -56,14 +84,20 @@ def scrubbed_json(
 ) -> Column:
     """JSON text with secret-named fields, secret URL parameters and known keys replaced.
 
-    Works on the text: a quoted name followed by a colon is a field, and its value is a
-    string, a number, a word, or a flat list or object.
+    Works on the text: a quoted name followed by a colon is a field. A value that is a string,
+    a number or a word goes at once; a list or object goes whole, however deep.
     """
     names = "|".join(fields)
-    value = r'(?:"(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{[^{}]*\}|[^,\]\}\s]+)'
+    value = r'(?:"(?:[^"\\]|\\.)*+"|[^,\[\]{}"\s]+)'
     step = F.regexp_replace(
         payload, rf'(?i)("(?:{names})"\s*:\s*){value}', f'$1"{mark}"'
     )
+    step = let(
+        step,
+        lambda s: F.when(
+            s.rlike(rf'(?i)"(?:{names})"\s*:\s*[\[{{]'), _without_containers(s, names, mark)
+        ).otherwise(s),
+    )
     step = F.regexp_replace(
         step, rf'(?i)([?&](?:{names}))=[^&"\\]*', f"$1={mark}"
     )

@@ -126,15 +126,11 @@ def merge_duplicates(records: DataFrame, key: str = "dedupe_key", ordinal: str =
     )
 
 
-# Room for an entry's position beside its record's ordinal in one whole number.
-_POSITIONS = 65536
-
-
 def _ordered_unions(records: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Distinct entries of the list columns per key, in order of first appearance.
 
-    First appearance is one whole number per entry, so the first and only large aggregate
-    folds in hash tables per task.
+    First appearance is (record, position), whatever their sizes; every task folds its entries
+    before the shuffle.
     """
 
     def tagged(field: str) -> Column:
@@ -146,7 +142,7 @@ def _ordered_unions(records: DataFrame, key: str, ordinal: str) -> DataFrame:
         )
 
     entries = records.select(key, ordinal, F.inline(F.concat(*[tagged(f) for f in LIST_FIELDS])))
-    place = F.col(ordinal).cast("bigint") * _POSITIONS + F.col("pos")
+    place = F.struct(ordinal, "pos")
     firsts = entries.groupBy(key, "list", "item").agg(F.min(place).alias("place"))
 
     def listed(field: str) -> Column:
@@ -206,10 +202,25 @@ def upsert(
     return merged.unionByName(loose)
 
 
-def insert_if_absent(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored rows untouched, plus incoming rows whose key is not stored yet."""
+def insert_if_absent(
+    stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Stored rows untouched, plus the first incoming row of every key that is not stored yet.
+
+    `order` says which incoming row is first; rows equal there go by their values. A key with
+    a NULL in it equals no other, so all such rows are inserted.
+    """
+    columns = stored.columns
     fresh = incoming.join(stored.select(*keys), list(keys), "left_anti")
-    return stored.unionByName(fresh.select(*stored.columns))
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    row = F.struct(*columns)
+    first = fresh.where(keyed).groupBy(*keys).agg(
+        F.min_by(row, F.struct(*order, *columns)).alias("_row")
+    )
+    return (
+        stored.unionByName(first.select("_row.*").select(*columns))
+        .unionByName(fresh.where(~keyed).select(*columns))
+    )
 
 
 def mark_known(candidates: DataFrame, stored: DataFrame) -> DataFrame:

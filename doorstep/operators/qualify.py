@@ -150,10 +150,14 @@ def scored(
     )
 
 
-def telemetry(assessed: DataFrame, search: list[str], limit: int) -> DataFrame:
+def telemetry(
+    assessed: DataFrame, search: list[str], limit: int, searches: DataFrame | None = None
+) -> DataFrame:
     """Per search and category: returned, qualified, rejected, named, gate misses, page hints.
 
-    `qualified` leaves out nameless placeholders; `rejected` does not notice them.
+    `qualified` leaves out nameless placeholders; `rejected` does not notice them. `searches`
+    has `search` and niche_id of every good page: with it, a search without any place is a
+    row of zeros too.
     """
     hit = F.col("qualifies")
     gated = ~hit & F.col("type_ok") & ~F.col("fatal")
@@ -163,6 +167,11 @@ def telemetry(assessed: DataFrame, search: list[str], limit: int) -> DataFrame:
         F.count_if(hit & (F.col("name") == UNNAMED)).alias("_nameless"),
         F.count_if(gated).alias("name_gate_rejected"),
     )
+    if searches is not None:
+        keys = [*search, "niche_id"]
+        counts = searches.select(*keys).distinct().join(counts, keys, "left").fillna(
+            0, ["returned", "_hits", "_nameless", "name_gate_rejected"]
+        )
     return counts.select(
         *search, "niche_id", "returned",
         (F.col("_hits") - F.col("_nameless")).alias("qualified"),
@@ -253,11 +262,16 @@ def with_state(profile_table: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def resolve_aliases(requested: DataFrame, aliases: DataFrame, value: str = "value",
-                    position: str = "position") -> tuple[DataFrame, DataFrame]:
-    """(resolved, rejected): requested spellings to category ids, first mention only."""
-    known = aliases.select(
-        compact(F.col("spelling")).alias("_key"), "niche_id"
-    ).distinct()
+                    position: str = "position", order: str = "place") -> tuple[DataFrame, DataFrame]:
+    """(resolved, rejected): requested spellings to category ids, first mention only.
+
+    A spelling registered twice belongs to its last registration by the aliases' `order`
+    column, or to the greatest id where they have none.
+    """
+    registered = [F.col(c) for c in (order, "niche_id") if c in aliases.columns]
+    known = aliases.groupBy(compact(F.col("spelling")).alias("_key")).agg(
+        F.max_by("niche_id", F.struct(*registered)).alias("niche_id")
+    )
     joined = requested.join(known, compact(F.col(value)) == F.col("_key"), "left").drop("_key")
     others = [c for c in requested.columns if c not in (value, position)]
     resolved = joined.where(F.col("niche_id").isNotNull()).groupBy(*others, "niche_id").agg(

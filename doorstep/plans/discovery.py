@@ -34,13 +34,17 @@ def discover(
 ) -> Discovery:
     """One pass over responses carrying search_no (sweep order), niche_id, city and raw.
 
+    `profiles` are the categories that the pass asks for; they share `limit`.
     Qualify, drop placeholders, merge duplicates, keep what is not stored, cap per category,
     score and record the evidence.
     """
     keep = ("search_no", "niche_id", "city")
     listings = payloads.listing_rows(responses, keep=keep).withColumnRenamed("niche_id", "asked")
     assessed = qualify.assess(listings, profiles).where(F.col("niche_id") == F.col("asked"))
-    counts = qualify.telemetry(assessed, ["search_no"], limit)
+    asked = payloads.listing_pages(responses).where("page_ok").where(
+        F.col("niche_id").isin([p.id for p in profiles])
+    )
+    counts = qualify.telemetry(assessed, ["search_no"], limit, asked)
 
     named = assessed.where("qualifies").where(F.col("name") != payloads.UNNAMED)
     c = F.col
@@ -49,7 +53,10 @@ def discover(
         identity.dedupe_key(
             c("name"), c("provider_id"), c("phone"), c("website"), c("address"), c("lat"), c("lng")
         ),
-    ).withColumn("ordinal", c("search_no") * 1000 + c("position"))
+    ).withColumn(
+        # Both are whole numbers of 32 bits, so no two places share an ordinal.
+        "ordinal", F.shiftleft(c("search_no").cast("bigint"), 32) + c("position"),
+    )
     records = keyed.withColumn("matched_niches", F.array("niche_id"))
     merged = identity.merge_duplicates(records)
     credited = identity.first_sightings(

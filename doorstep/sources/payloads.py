@@ -32,17 +32,33 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 _ENVELOPE = ", ".join(f"{key} string" for key in ("local_results", *ENVELOPE_KEYS))
 
 
+def _all_objects(entries: Column) -> Column:
+    return entries.isNotNull() & ~F.exists(
+        entries, lambda e: e.isNull() | ~F.ltrim(e).startswith("{")
+    )
+
+
 def listing_pages(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds `results` (raw text) and `page_ok`: a page with results, or an envelope without."""
+    """Adds `results` (raw text of each) and `page_ok`.
+
+    A good page has a list of objects, or an envelope without one. Every response is either
+    good (perhaps empty) or in `rejected_pages`.
+    """
     results = F.col("_envelope.local_results")
+    entries = F.from_json(results, "array<string>")
     enveloped = F.coalesce(*[F.col(f"_envelope.{key}") for key in ENVELOPE_KEYS]).isNotNull()
     return (
         responses.withColumn("_envelope", F.from_json(raw, _ENVELOPE))
         .withColumn(
             "page_ok",
-            F.when(results.isNull(), enveloped).otherwise(F.ltrim(results).startswith("[")),
+            F.coalesce(
+                F.when(results.isNull(), enveloped).otherwise(
+                    F.ltrim(results).startswith("[") & _all_objects(entries)
+                ),
+                F.lit(False),
+            ),
         )
-        .withColumn("results", results)
+        .withColumn("results", entries)
         .drop("_envelope")
     )
 
@@ -54,9 +70,8 @@ def rejected_pages(responses: DataFrame, raw: str = "raw") -> DataFrame:
 def listing_rows(responses: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per place of every good page, with its position."""
     pages = listing_pages(responses, raw).where("page_ok")
-    places = pages.select(
-        *keep,
-        F.posexplode(F.from_json("results", f"array<{LISTING_PLACE}>")).alias("pos", "p"),
+    places = pages.select(*keep, F.posexplode("results").alias("pos", "e")).select(
+        *keep, "pos", F.from_json("e", LISTING_PLACE).alias("p")
     )
     place_id = trimmed(F.col("p.place_id"))
     return places.select(
@@ -113,9 +128,26 @@ def rejected_searches(responses: DataFrame, raw: str = "raw") -> DataFrame:
     ).drop("_r")
 
 
+def _fetched(responses: DataFrame, raw: str) -> DataFrame:
+    """Adds `_r` and `_good`: a list of results that are objects with url and text."""
+    parsed = responses.withColumn("_r", F.from_json(raw, FETCH_RESPONSE)).withColumn(
+        "_list", F.from_json(F.get_json_object(raw, "$.results"), "array<string>")
+    )
+    whole = ~F.exists(
+        "_r.results", lambda x: x.isNull() | present(x["url"]).isNull() | x["text"].isNull()
+    )
+    good = F.col("_r.results").isNotNull() & _all_objects(F.col("_list")) & whole
+    return parsed.withColumn("_good", F.coalesce(good, F.lit(False))).drop("_list")
+
+
+def rejected_fetches(responses: DataFrame, raw: str = "raw") -> DataFrame:
+    """Responses of which `fetched_rows` gives nothing because they are malformed."""
+    return _fetched(responses, raw).where(~F.col("_good")).drop("_r", "_good")
+
+
 def fetched_rows(responses: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per requested url: fetched text, or the error it met."""
-    parsed = responses.select(*keep, F.from_json(raw, FETCH_RESPONSE).alias("r"))
+    """One row per requested url of every good response: fetched text, or the error it met."""
+    parsed = _fetched(responses, raw).where("_good").select(*keep, F.col("_r").alias("r"))
     empty_ok = "array<struct<url:string,text:string,error:string,ok:boolean>>"
     fetched = F.transform(
         "r.results",

@@ -142,6 +142,16 @@ def test_scrub(spark):
     assert got == ['{"search_parameters":{"api_key":"REDACTED","q":"REDACTED"},"u":"http://x/?a=1&key=REDACTED&b=2","n":"has REDACTED"}']
 
 
+def test_scrub_takes_nested_values_whole(spark):
+    cases = [
+        ('{"token":[["s1","s2"]],"a":1}', '{"token":"REDACTED","a":1}'),
+        ('{"token":{"x":{"y":"SECRET","z":"S2"}}}', '{"token":"REDACTED"}'),
+        ('{"a":[{"Key" : [{"b":"]}\\"S"}, 3]},{"key":null}],"c":{}}', '{"a":[{"Key" : "REDACTED"},{"key":"REDACTED"}],"c":{}}'),
+        ('{"keys":[1,[2]],"n":"token"}', '{"keys":[1,[2]],"n":"token"}'),
+    ]
+    assert column(spark, [c for c, _ in cases], secrets.scrubbed_json) == [w for _, w in cases]
+
+
 def test_reach_order(spark):
     row = spark.createDataFrame(
         [("98", "Ann", "h", "080", "e", "f"), ("", None, None, "080", "e", None), (None,) * 6, (None, None, None, None, None, "f"), ("98", None, "h", None, None, None)],

@@ -83,3 +83,20 @@ def test_thin_sighting_keeps_what_is_known(spark):
     got = identity.upsert(stored, incoming, "key", replace=["name"], keep_known=["phone"], keep_present=["notes"])
     rows = sorted(map(tuple, got.collect()), key=str)
     assert rows == sorted([("k", "New", "1", "see"), (None, "X", "2", None), (None, "Y", None, "n"), ("z", "Z", None, None)], key=str)
+
+
+def test_insert_keeps_the_first_of_a_key(spark):
+    stored = spark.createDataFrame([(1, "a")], "k int, v string")
+    incoming = spark.createDataFrame(
+        [(2, "c", 2), (2, "b", 1), (1, "z", 0), (None, "n", 3), (None, "n", 4)], "k int, v string, at int"
+    )
+    got = identity.insert_if_absent(stored, incoming, ["k"], ["at"]).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a"), (2, "b"), (None, "n"), (None, "n")]
+
+
+def test_lists_of_any_length_keep_their_order(spark):
+    long = [f"t{i}" for i in range(70_000)]
+    df = spark.createDataFrame([("k", 1, long), ("k", 2, ["first of two"])], "k string, o long, l array<string>")
+    wide = df.select("k", "o", *[df["l"].alias(f) for f in identity.LIST_FIELDS])
+    (row,) = identity._ordered_unions(wide, "k", "o").collect()
+    assert list(row[identity.LIST_FIELDS[0]]) == [*long, "first of two"]

@@ -55,10 +55,31 @@ def test_discovery(spark):
     salon = outcomes["salon"]
     assert (salon.searches, salon.candidates, salon.qualified, salon.new_businesses, salon.already_stored, salon.name_gate_rejected) == (2, 6, 4, 2, 1, 1)
     assert outcomes["cafe"].state == "verified"
+    assert outcomes["cafe"].searches == 2  # the empty page counts
     assert {(r.slug, r.times) for r in got.rejected_types.collect()} == {("cafe", 1), ("bakery", 1)}
     assert {r.search_no for r in got.rejected_pages.collect()} == {5, 6, 7}
 
 
+def test_no_page_is_lost(spark):
+    raws = [page(place(1, "A", "x")), page(), page(place(1, "A", "x"), 5), page(None), "[1]", None,
+            json.dumps({"search_metadata": {}, "local_results": "x"}),
+            page(place(1, "A", "x", reviews="nan"), place(2, "B", "x", reviews=1e30, gps_coordinates="none"))]
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
+    rows = [(r.i, r.position, r.reviews) for r in payloads.listing_rows(df, keep=("i",)).collect()]
+    assert sorted(rows, key=str) == [(0, 1, None), (7, 1, None), (7, 2, None)]
+    assert sorted(r.i for r in payloads.rejected_pages(df).collect()) == [2, 3, 4, 5, 6]
+
+
+def test_no_fetch_is_lost(spark):
+    good = {"url": "u", "text": "t"}
+    cases = [{"results": [good], "errors": [{"url": "v", "error": "e"}]}, {"results": []}, {"results": [good, 5]},
+             {"results": [{"text": "t"}]}, {"results": [{"url": "u"}]}, {"results": "x"}, {}, [1]]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(8, "<html>"), (9, None)], "i int, raw string")
+    assert [(r.i, r.url, r.text, r.ok) for r in payloads.fetched_rows(df, keep=("i",)).collect()] == [
+        (0, "u", "t", True), (0, "v", None, False)]
+    assert sorted(r.i for r in payloads.rejected_fetches(df).collect()) == [2, 3, 4, 5, 6, 7, 8, 9]
+
+
 def test_listing_fields(spark):
     df = spark.createDataFrame([(page({"title": " ", "type": None, "types": ["A", " ", "B "], "reviews": "1,2", "gps_coordinates": None}),)], "raw string")
     (row,) = payloads.listing_rows(df).collect()
