@@ -79,17 +79,28 @@ def _(d: Domain):
        UNION ALL SELECT doc_id, 'https://site.example/' || CAST(doc_id AS VARCHAR), NULL, 'status ' || source, false FROM documents WHERE lang IN ('de', 'fr')""",
 )
 def _(d: Domain):
+    rows = payloads.fetched_rows(_fetches(d, errors_only=False), keep=("doc_id",))
+    return rows.select("doc_id", "url", F.sha2("text", 256).alias("digest"), "error", "ok")
+
+
+@check("rejected_fetch_responses", "S3", "SELECT doc_id FROM documents WHERE lang = 'de'")
+def _(d: Domain):
+    """A response that has errors but no list of results is malformed."""
+    return payloads.rejected_fetches(_fetches(d, errors_only=True)).select("doc_id")
+
+
+def _fetches(d: Domain, errors_only: bool):
     url = F.concat(F.lit("https://site.example/"), F.col("doc_id").cast("string"))
     ok = F.struct(url.alias("url"), F.col("text"))
     bad = F.struct(url.alias("url"), F.concat(F.lit("status "), "source").alias("error"), F.lit(403).alias("status"))
     lang = F.col("lang")
+    none = [] if errors_only else [F.array().cast("array<string>").alias("results")]
     raw = F.when(
-        lang == "de", F.to_json(F.struct(F.array(bad).alias("errors")))
+        lang == "de", F.to_json(F.struct(*none, F.array(bad).alias("errors")))
     ).when(
         lang == "fr", F.to_json(F.struct(F.array(ok).alias("results"), F.array(bad).alias("errors")))
     ).otherwise(F.to_json(F.struct(F.array(ok).alias("results"))))
-    rows = payloads.fetched_rows(d.table("documents").select("doc_id", raw.alias("raw")), keep=("doc_id",))
-    return rows.select("doc_id", "url", F.sha2("text", 256).alias("digest"), "error", "ok")
+    return d.table("documents").select("doc_id", raw.alias("raw"))
 
 
 @check(

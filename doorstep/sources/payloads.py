@@ -129,14 +129,22 @@ def rejected_searches(responses: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def _fetched(responses: DataFrame, raw: str) -> DataFrame:
-    """Adds `_r` and `_good`: a list of results that are objects with url and text."""
+    """Adds `_r` and `_good`: a list of results that are objects with url and text.
+
+    Errors are a list or absent, and a response without results and errors is no good.
+    """
     parsed = responses.withColumn("_r", F.from_json(raw, FETCH_RESPONSE)).withColumn(
         "_list", F.from_json(F.get_json_object(raw, "$.results"), "array<string>")
     )
     whole = ~F.exists(
         "_r.results", lambda x: x.isNull() | present(x["url"]).isNull() | x["text"].isNull()
     )
-    good = F.col("_r.results").isNotNull() & _all_objects(F.col("_list")) & whole
+    errors = F.get_json_object(raw, "$.errors")
+    some = (F.size("_list") > 0) | (F.coalesce(F.size("_r.errors"), F.lit(0)) > 0)
+    good = (
+        F.col("_r.results").isNotNull() & _all_objects(F.col("_list")) & whole & some
+        & F.coalesce(errors.startswith("["), F.lit(True))
+    )
     return parsed.withColumn("_good", F.coalesce(good, F.lit(False))).drop("_list")
 
 

@@ -73,11 +73,12 @@ def test_no_page_is_lost(spark):
 def test_no_fetch_is_lost(spark):
     good = {"url": "u", "text": "t"}
     cases = [{"results": [good], "errors": [{"url": "v", "error": "e"}]}, {"results": []}, {"results": [good, 5]},
-             {"results": [{"text": "t"}]}, {"results": [{"url": "u"}]}, {"results": "x"}, {}, [1]]
-    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(8, "<html>"), (9, None)], "i int, raw string")
+             {"results": [{"text": "t"}]}, {"results": [{"url": "u"}]}, {"results": "x"}, {}, [1],
+             {"results": [good], "errors": "x"}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(9, "<html>"), (10, None)], "i int, raw string")
     assert [(r.i, r.url, r.text, r.ok) for r in payloads.fetched_rows(df, keep=("i",)).collect()] == [
         (0, "u", "t", True), (0, "v", None, False)]
-    assert sorted(r.i for r in payloads.rejected_fetches(df).collect()) == [2, 3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r.i for r in payloads.rejected_fetches(df).collect()) == list(range(1, 11))
 
 
 def test_listing_fields(spark):
