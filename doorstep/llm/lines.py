@@ -145,7 +145,8 @@ def line_index(counts: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int = SHARDS) -> DataFrame:
     """Per (doc_id, text_hash): `drop`, the hashes of its lines that at least `least` rows hold."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    probes = (
+    # Written once: counting and probing both read hashes, not texts.
+    probes = stored(
         docs.select(
             "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
             F.explode(F.array_distinct(
@@ -153,7 +154,8 @@ def shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: in
             )).alias("_k"),
         )
         .where(F.col("_k.n") >= shortest)
-        .select("doc_id", "text_hash", F.col("_k.a").alias("a"), F.col("_k.b").alias("b"))
+        .select("doc_id", "text_hash", F.col("_k.a").alias("a"), F.col("_k.b").alias("b")),
+        "line-probes",
     )
     counts = stored(
         probes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "line-counts"
