@@ -1,10 +1,11 @@
 """Fixity of record archives: hash trees over offset ranges, compared level by level.
 
-A leaf is the sha256 of one record. Leaves of a file are ordered by offset; every `FANOUT`
-neighbours make a node, whose hash covers its children's in order, up to one root per file.
-Replicas are compared by their roots; only below differing nodes are children looked at, so an
-audit of sound replicas reads roots, and one bad record costs one path. Only hashes are
-shuffled, never records.
+A record's leaf follows from its page_id, so that no loss moves another record's leaf; without an
+id it follows from the content hash. A leaf's hash covers the ids, hashes and counts of its
+records. Every `FANOUT` neighbours make a node, whose hash covers its children's with their
+places, up to one root per file. Replicas are compared by their roots; only below differing nodes
+are children looked at, so an audit of sound replicas reads roots, and one bad record costs one
+path. Records are compared only in differing leaves. Only hashes are shuffled, never records.
 """
 
 from __future__ import annotations
@@ -89,24 +90,34 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, offset long, size long, hash string, body binary")
 
 
+def leaf_of(fanout: int = FANOUT, levels: int = LEVELS) -> Column:
+    """The leaf of a record in its file: the same in every replica, whatever else the file holds."""
+    leaves = F.lit(fanout**levels)
+    return F.coalesce(F.pmod(F.col("page_id"), leaves), F.pmod(F.xxhash64("hash"), leaves)).cast("bigint")
+
+
 def tree(records: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """`file, level, node, hash, low, high` of all nodes: leaves are level 0, `levels` is the root.
 
-    `low` and `high` are the byte range of a node. A node's group has at most `fanout` rows; the
-    root takes what is left.
+    `low` and `high` are the byte range of a node's records. A node has at most `fanout` children.
+    Repeated records are counted before a leaf is gathered.
     """
-    order = Window.partitionBy("file").orderBy("offset", "hash")
-    nodes = records.select(
-        "file", F.lit(0).alias("level"), (F.row_number().over(order) - 1).cast("bigint").alias("node"), "hash",
-        F.col("offset").alias("low"), (F.col("offset") + F.col("size")).alias("high"),
+    counted = records.groupBy("file", leaf_of(fanout, levels).alias("node"), "page_id", "hash").agg(
+        F.count(F.lit(1)).alias("n"), F.min("offset").alias("low"), F.max(F.col("offset") + F.col("size")).alias("high"),
     )
+    # Every field is there in every entry, so a missing id is told from any other.
+    entry = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "hash", F.col("n").cast("string"))
+    nodes = counted.groupBy("file", "node").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("hash"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+    ).select("file", F.lit(0).alias("level"), "node", "hash", "low", "high")
     nodes = stored(nodes, "fixity-leaves")
     out = nodes
     for level in range(1, levels + 1):
-        up = F.lit(0).cast("bigint") if level == levels else F.floor(F.col("node") / fanout)
-        nodes = nodes.groupBy("file", up.alias("parent")).agg(
+        nodes = nodes.groupBy("file", F.floor(F.col("node") / fanout).alias("parent")).agg(
             F.sha2(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"),
+                F.array_sort(F.collect_list(F.struct("node", "hash"))),
+                lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"])), ","), 256).alias("hash"),
             F.min("low").alias("low"), F.max("high").alias("high"),
         ).select("file", F.lit(level).alias("level"), F.col("parent").alias("node"), "hash", "low", "high")
         nodes = stored(nodes, "fixity-nodes")  # a sixteenth of the level below
@@ -118,8 +129,8 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT, levels: int
     """Differing leaves of two trees: `file, node, low, high, fault`.
 
     `fault` is `changed` where both have the leaf, `lost` where only the first has it, `extra`
-    where only the second has it. A lost record moves the later ones of its file up, so they are
-    changed; compare by content, not place, with `located`.
+    where only the second has it. Ids further apart than the leaves of a file share one, and so do
+    repeated records; `located` names the records of a leaf.
     """
     def level(table: DataFrame, k: int, end: str) -> DataFrame:
         return table.where(F.col("level") == k).select(
@@ -131,7 +142,7 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT, levels: int
     for k in range(levels, -1, -1):
         a, b = level(ours, k, "a"), level(theirs, k, "b")
         if bad is not None:
-            up = F.lit(0).cast("bigint") if k == levels - 1 else F.floor(F.col("node") / fanout)
+            up = F.floor(F.col("node") / fanout)
             a = a.withColumn("_up", up).join(bad, ["file", "_up"], "left_semi").drop("_up")
             b = b.withColumn("_up", up).join(bad, ["file", "_up"], "left_semi").drop("_up")
         wrong = a.join(b, ["file", "node"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
@@ -144,18 +155,29 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT, levels: int
     )
 
 
-def located(ours: DataFrame, theirs: DataFrame, records_a: DataFrame, records_b: DataFrame) -> DataFrame:
-    """Records of files whose roots differ that only one replica holds, by content.
+def located(ours: DataFrame, theirs: DataFrame, records_a: DataFrame, records_b: DataFrame,
+            fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+    """`file, page_id, fault` of the records in differing leaves, one row per faulty record.
 
-    The audit names the files and ranges; inside them a record that only moved is no fault.
-    Columns: file, page_id, fault (`changed`: both have the id, with other content).
+    Records count: of copies with one id and content, those that the other replica has fewer of are
+    faulty. Per id, what is over on both sides is `changed`; the rest is `lost` or `extra`. Records
+    without an id are compared among those of their leaf.
     """
-    files = audit(ours, theirs).select("file").distinct()
-    a, b = (r.join(files, "file", "left_semi").select("file", "page_id", "hash") for r in (records_a, records_b))
-    same = a.select("file", "page_id", "hash").distinct()
-    only_a = a.join(b.distinct(), ["file", "page_id", "hash"], "left_anti").withColumn("side", F.lit("a"))
-    only_b = b.join(same, ["file", "page_id", "hash"], "left_anti").withColumn("side", F.lit("b"))
-    return only_a.unionByName(only_b).groupBy("file", "page_id").agg(
-        F.when(F.count_distinct("side") == 2, "changed").when(F.max("side") == "a", "lost")
-        .otherwise("extra").alias("fault")
+    bad = audit(ours, theirs, fanout, levels).select("file", F.col("node").alias("_leaf"))
+
+    def inside(records: DataFrame, sign: int) -> DataFrame:
+        rows = records.select("file", "page_id", "hash", leaf_of(fanout, levels).alias("_leaf"))
+        return rows.join(bad, ["file", "_leaf"], "left_semi").withColumn("n", F.lit(sign).cast("bigint"))
+
+    both = inside(records_a, 1).unionByName(inside(records_b, -1))
+    over = both.groupBy("file", "page_id", "hash").agg(F.sum("n").alias("n")).where("n <> 0")
+    sides = over.groupBy("file", "page_id").agg(
+        F.sum(F.greatest("n", F.lit(0))).alias("a"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("b")
     )
+    changed = F.least("a", "b")
+    faults = sides.select("file", "page_id", F.explode(F.array(
+        F.struct(F.lit("changed").alias("fault"), changed.alias("n")),
+        F.struct(F.lit("lost").alias("fault"), (F.col("a") - changed).alias("n")),
+        F.struct(F.lit("extra").alias("fault"), (F.col("b") - changed).alias("n")),
+    )).alias("_f")).where("_f.n > 0")
+    return faults.select("file", "page_id", "_f.fault", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_f.n"))).alias("_k")).drop("_k")

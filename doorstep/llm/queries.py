@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doorstep.llm import bpe, chat, fixity, hnsw, jaccard, lines, maxent, mixing, rules, toxicity
-from doorstep.llm.store import table
+from doorstep.llm.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -225,7 +225,7 @@ def op6_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
     replica = pages.where("page_id IS NULL OR page_id % 89 <> 7").withColumn(
         "html", F.when(F.col("page_id") % 97 == 5, rotten).otherwise(F.col("html"))
     )
-    ours, theirs = (fixity.archived(p) for p in (pages, replica))
+    ours, theirs = (stored(fixity.archived(p), "fixity-records") for p in (pages, replica))
     return fixity.located(fixity.tree(ours), fixity.tree(theirs), ours, theirs)
 
 

@@ -155,6 +155,20 @@ def test_fixity(spark):
     assert [(r.node, r.fault) for r in found] == [(9, "changed")]
 
 
+def test_fixity_reads_one_path_and_counts_copies(spark):
+    kind = "page_id long, url string, html string"
+    rows = [(k, f"u{k}", f"body {k}") for k in range(3000)] + [(7, "u7", "body 7"), (None, "n", "x"), (None, "n", "x")]
+    less = [r for r in rows if r[0] not in (1500, 7)] + [(7, "u7", "body 7")]
+    less.remove((None, "n", "x"))
+    less[less.index((2100, "u2100", "body 2100"))] = (2100, "u2100", "rotten")
+    ours, theirs = (fixity.archived(spark.createDataFrame(r, kind)) for r in (rows, less + [(2999, "u", "new")]))
+    a, b = fixity.tree(ours), fixity.tree(theirs)
+    leaves = {(r.file, r.node) for r in fixity.audit(a, b).collect() if r.file >= 0}
+    assert leaves == {(0, 7), (1, 1500), (2, 2100), (2, 2999)}
+    got = sorted((r.page_id if r.page_id is not None else -1, r.fault) for r in fixity.located(a, b, ours, theirs).collect())
+    assert got == [(-1, "lost"), (7, "lost"), (1500, "lost"), (2100, "changed"), (2999, "extra")]
+
+
 def test_toxic_sentences(spark):
     bad = [(k, "All is well here. You are a vile lout today.", 1) for k in range(60)]
     good = [(100 + k, "All is well here. You are a good friend today.", 0) for k in range(60)]
