@@ -2,7 +2,8 @@
 
 1. Vectors that cannot be compared (null, zero, null or non-finite components) are left out.
    Equal vectors become one node that keeps its smallest ids, as many as a query may return.
-2. Nodes are dealt to shards by a hash of the vector. A shard's graph is built by inserting
+2. Nodes are dealt to shards by a hash of the vector; usable vectors are counted first, and the
+   number of shards follows the count. A shard's graph is built by inserting
    blocks of nodes: each block's neighbours are searched in the graph so far and among the
    block itself, and the nearest that are not nearer to each other are linked. The graph is
    stored as one row of flat arrays: vectors, neighbour table per level, ids.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,12 @@ class Graph:
     build: int = 48
     search: int = 96
     block: int = 256
-    shards: int = 16  # a shard's vectors and graph must fit a task
+    shard: int = 1 << 18  # vectors in a shard, so that they and their graph fit a task
+    least: int = 16  # shards of a small table, for tasks to run side by side
+    seen: int = 1 << 25  # queries times nodes marked at a time
+
+    def shards(self, vectors: int) -> int:
+        return max(self.least, -(-vectors // self.shard))
 
 
 def usable(vector: Column) -> Column:
@@ -50,14 +57,33 @@ def _closest(have_ids, have_d, more_ids, more_d, size):
     return ids, d
 
 
-def beam(data, table, queries, enter, size):
+def beam(data, table, queries, enter, size, marks=1 << 25):
     """The `size` nodes nearest to each query that walking `table` from `enter` finds.
 
+    Queries go in blocks that mark at most `marks` visited nodes, one query at least.
+    """
+    n = len(data)
+    norm = np.einsum("ij,ij->i", data, data)
+    step = max(1, marks // (n + 1))
+    parts = [
+        _beam(data, norm, table, queries[k : k + step], enter[k : k + step], size)
+        for k in range(0, max(1, len(queries)), step)
+    ]
+    width = max(ids.shape[1] for ids, _ in parts)
+    wide = [((0, 0), (0, width - ids.shape[1])) for ids, _ in parts]
+    return (
+        np.concatenate([np.pad(ids, w, constant_values=n) for (ids, _), w in zip(parts, wide)]),
+        np.concatenate([np.pad(d, w, constant_values=np.inf) for (_, d), w in zip(parts, wide)]),
+    )
+
+
+def _beam(data, norm, table, queries, enter, size):
+    """`beam` of one block.
+
     All queries step together: each opens its nearest unopened node, looks at the node's
     unseen neighbours and keeps the best. A query is done when all it keeps are opened.
     """
     n, rows = len(data), np.arange(len(queries))
-    norm = np.einsum("ij,ij->i", data, data)
     seen = np.zeros((len(queries), n + 1), bool)
     seen[:, n] = True
     ids = enter.reshape(len(queries), -1)
@@ -187,7 +213,7 @@ def build_graph(data: np.ndarray, graph: Graph) -> list[np.ndarray]:
             if begin:
                 local = np.where(table[:begin] < begin, table[:begin], begin)
                 start = np.zeros((len(block), 1), np.int64)
-                found, _ = beam(part[:begin], local, block, start, graph.build)
+                found, _ = beam(part[:begin], local, block, start, graph.build, graph.seen)
             for k in range(len(block)):
                 options = near[k][near[k] != k] + begin
                 if begin:
@@ -199,44 +225,53 @@ def build_graph(data: np.ndarray, graph: Graph) -> list[np.ndarray]:
     return tables[::-1]
 
 
-def search_graph(data, tables, graph_links, queries, size):
+def search_graph(data, tables, graph_links, queries, size, marks=1 << 25):
     """Nodes near each query: down the levels from node 0, then a beam of `size` on the lowest."""
     enter = np.zeros((len(queries), 1), np.int64)
     for level in range(len(tables) - 1, 0, -1):
         step = graph_links**level
-        ids, _ = beam(data[::step], tables[level], queries, enter // step, 4)
+        ids, _ = beam(data[::step], tables[level], queries, enter // step, 4, marks)
         enter = np.minimum(ids[:, :1], len(tables[level]) - 1) * step
-    return beam(data, tables[0], queries, enter, size)
+    return beam(data, tables[0], queries, enter, size, marks)
 
 
 INDEX = "shard int, size int, width int, vectors binary, tables array<binary>, ids binary, counts binary"
 
 
+def _flat(lists: pa.ChunkedArray) -> pa.ChunkedArray:
+    return pa.chunked_array([chunk.flatten() for chunk in lists.chunks])
+
+
 def _build(graph: Graph):
     def run(nodes: pa.Table) -> pa.Table:
         nodes = nodes.sort_by("place")
         n = nodes.num_rows
-        original = np.array(nodes.column("vector").to_pylist(), np.float32)
-        norm = np.sqrt((original.astype(np.float64) ** 2).sum(1))
+        original = _flat(nodes.column("vector")).to_numpy().reshape(n, -1)
+        norm = np.sqrt(np.einsum("ij,ij->i", original, original, dtype=np.float64))
         rest = np.sqrt(np.maximum(norm.max() ** 2 - norm**2, 0))
         data = np.concatenate([original, rest[:, None].astype(np.float32)], 1)
         tables = build_graph(data, graph)
-        ids = nodes.column("ids").to_pylist()
+        ids = nodes.column("ids")
         return pa.table({
             "shard": pa.array([nodes.column("shard")[0].as_py()], pa.int32()),
             "size": pa.array([n], pa.int32()), "width": pa.array([original.shape[1]], pa.int32()),
             "vectors": pa.array([original.tobytes()], pa.binary()),
             "tables": pa.array([[t.tobytes() for t in tables]], pa.list_(pa.binary())),
-            "ids": pa.array([np.array([i for x in ids for i in x], np.int64).tobytes()], pa.binary()),
-            "counts": pa.array([np.array([len(x) for x in ids], np.int32).tobytes()], pa.binary()),
+            "ids": pa.array([_flat(ids).to_numpy().astype(np.int64).tobytes()], pa.binary()),
+            "counts": pa.array([pc.list_value_length(ids).to_numpy().astype(np.int32).tobytes()], pa.binary()),
         })
 
     return run
 
 
-def index(vectors: DataFrame, graph: Graph = Graph(), top: int = 20) -> DataFrame:
+def shards_of(vectors: DataFrame, graph: Graph = Graph()) -> int:
+    """How many shards the usable vectors need."""
+    return graph.shards(vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).count())
+
+
+def index(vectors: DataFrame, graph: Graph = Graph(), top: int = 20, shards: int | None = None) -> DataFrame:
     """One row per (shard, width of vectors) from `vec_id`, `embedding`. Every usable row is in it."""
-    shards = graph.shards
+    shards = shards or shards_of(vectors, graph)
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         "vec_id", F.transform("embedding", lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("vector")
     )
@@ -254,7 +289,7 @@ def _search(graph: Graph, top: int):
     def answers(row, ids, queries):
         n, width = row["size"], row["width"]
         original = np.frombuffer(row["vectors"], np.float32).reshape(n, width)
-        norm2 = (original.astype(np.float64) ** 2).sum(1)
+        norm2 = np.einsum("ij,ij->i", original, original, dtype=np.float64)
         rest = np.sqrt(np.maximum(norm2.max() - norm2, 0)).astype(np.float32)
         data = np.concatenate([original, rest[:, None]], 1)
         tables = []
@@ -264,7 +299,7 @@ def _search(graph: Graph, top: int):
         member = np.frombuffer(row["ids"], np.int64)
         edge = np.append(0, np.cumsum(np.frombuffer(row["counts"], np.int32)))
         wide = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], 1)
-        found, _ = search_graph(data, tables, graph.links, wide, max(graph.search, 2 * top))
+        found, _ = search_graph(data, tables, graph.links, wide, max(graph.search, 2 * top), graph.seen)
         for q in range(len(queries)):
             near = found[q][found[q] < n]
             score = original[near].astype(np.float64) @ queries[q].astype(np.float64)
@@ -314,11 +349,11 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, graph: Graph = G
     Ties go to the smaller vec_id; rows without id or with unusable vectors take no part; repeated
     rows count once. Vectors are compared with those of their own width.
     """
-    found_index = stored(index(vectors, graph, top), "hnsw-index")
+    shards = shards_of(vectors, graph)
+    found_index = stored(index(vectors, graph, top, shards), "hnsw-index")
     queries = vectors.where((F.col("vec_id") % every == 0) & usable(F.col("embedding"))).select(
         F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("float")).alias("query")
     ).dropDuplicates(["query_id", "query"])
-    shards = graph.shards
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "query")
     whole = found_index.unionByName(asked, allowMissingColumns=True)
     dealt = whole.repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())

@@ -145,6 +145,24 @@ def test_nearest(spark):
                    (20, 1): (2, 2.0), (20, 2): (0, 1.0), (20, 3): (1, 1.0)}
 
 
+def test_shards_follow_the_vectors(spark):
+    assert hnsw.Graph().shards(112_000_000) * hnsw.Graph().shard >= 112_000_000
+    small = hnsw.Graph(shard=100, least=2, seen=1 << 10)
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(900, 8)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<float>")
+    sizes = [r["size"] for r in hnsw.index(df, small).select("size").collect()]
+    assert len(sizes) == 9 and sum(sizes) == 900 and max(sizes) < 200
+    got = {}
+    for r in hnsw.nearest(df, every=100, graph=small).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 900, 100):
+        near = [int(i) for i in np.argsort(-(data.astype(np.float64) @ data[q]), kind="stable") if i != q][:20]
+        hits += len(got[q] & set(near))
+    assert hits >= 0.9 * 180
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(k, f"u{k}", f"body {k}") for k in range(40)] + [(None, None, None)],
                                   "page_id long, url string, html string")
