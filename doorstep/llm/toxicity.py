@@ -218,7 +218,21 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     return Model(known[heavy], weights[heavy], bias)
 
 
-def _scores(model: Model, spans: bool):
+def offending(mass: np.ndarray, owner: np.ndarray, texts: np.ndarray, cut: float) -> np.ndarray:
+    """Of each of `texts`, the fewest sentences without which its noisy-or is under `cut`.
+
+    `mass` is a sentence's -log(1 - s), its share of the text's sum. The strongest go first, the
+    earlier of equals; the strongest is always among them.
+    """
+    found = [np.zeros(0, np.int64)]
+    for begin, end in zip(np.searchsorted(owner, texts), np.searchsorted(owner, texts, side="right")):
+        order = np.argsort(-mass[begin:end], kind="stable")
+        left = np.cumsum(mass[begin:end][order][::-1])[::-1]
+        found.append(begin + np.sort(order[: max(1, int((1 - np.exp(-left) >= cut).sum()))]))
+    return np.concatenate(found)
+
+
+def _scores(model: Model, spans: bool, cut: float = 0.3):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             hashes, sentence, owner, words, of_word = sentence_words(piece.column("text"))
@@ -232,8 +246,7 @@ def _scores(model: Model, spans: bool):
             columns = [piece.column(c) for c in piece.schema.names if c != "text"]
             names = [c for c in piece.schema.names if c != "text"]
             if spans:
-                found = []
-                loud = np.flatnonzero(1 / (1 + np.exp(-z)) >= 0.3)
+                loud = offending(np.logaddexp(0, z), owner, np.flatnonzero(score >= cut), cut)
                 first = np.searchsorted(of_word, loud)
                 last = np.searchsorted(of_word, loud, side="right") - 1
                 by_text = [[] for _ in range(piece.num_rows)]
@@ -251,25 +264,32 @@ def _scores(model: Model, spans: bool):
     return run
 
 
-def score_texts(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, spans: bool = False, cut: float = 0.3) -> DataFrame:
     """`doc_id`, `score` of every row; with `spans`, also the offending sentences.
 
+    Those are, of a text that scores `cut` or more, the fewest without which it would not.
+
     A span gives UTF-8 byte positions of a sentence's first and last word. A null or empty
     text has no sentence and scores 0. Repeated rows score alike; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     extra = ", sentences array<struct<start: long, stop: long, score: double>>" if spans else ""
     return docs.select("doc_id", "text").mapInArrow(
-        _scores(model, spans), f"doc_id {kind}{extra}, score double"
+        _scores(model, spans, cut), f"doc_id {kind}{extra}, score double"
     )
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), cut: float = 0.3) -> DataFrame:
-    """`doc_id`, `held_out`, `score`, `predicted` of every text; a null id is held out."""
-    scored = score_texts(docs, train(docs, labels, fit))
+    """`doc_id`, `held_out`, `score`, `predicted` of every text; a null id is held out.
+
+    `n_located` counts its offending sentences and `located_sha256` digests their `start:stop`.
+    """
+    scored = score_texts(docs, train(docs, labels, fit), spans=True, cut=cut)
+    places = F.transform("sentences", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string")))
     return scored.select(
         "doc_id", F.coalesce(~training_rows(), F.lit(True)).alias("held_out"), "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_located"), F.sha2(F.array_join(places, ","), 256).alias("located_sha256"),
     )
 
 

@@ -198,6 +198,16 @@ def test_toxic_sentences(spark):
     assert [(s.start, s.stop) for s in got[1].sentences] == [(10, 26)]
 
 
+def test_weak_sentences_are_located_together(spark):
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(0.15 / 0.85)))  # 0.15 a sentence
+    rows = spark.createDataFrame([(1, "One here. Two there. Three now."), (2, "One here."), (3, None)], "doc_id long, text string")
+    for cut, want in ((0.3, [(0, 8)]), (0.2, [(0, 8), (10, 19)]), (0.1, [(0, 8), (10, 19), (21, 30)])):
+        got = {r.doc_id: r for r in toxicity.score_texts(rows, model, spans=True, cut=cut).collect()}
+        assert got[1].score == pytest.approx(1 - 0.85**3)
+        assert [(s.start, s.stop) for s in got[1].sentences] == want
+        assert len(got[2].sentences) == (cut < 0.15) and not got[3].sentences
+
+
 def test_scores_of_odd_rows(docs):
     got = maxent.score_texts(docs.select("doc_id", "text")).collect()
     assert len(got) == len(ROWS) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)

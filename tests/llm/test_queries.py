@@ -126,3 +126,10 @@ def test_toxicity_on_held_out_rows(spark):
     for i, r in rows.items():
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_toxicity_locates_sentences(spark):
+    rows = QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.01").collect()
+    assert all((r.n_located > 0) == (r.predicted == 1) for r in rows) and any(r.n_located for r in rows)
+    none = hashlib.sha256(b"").hexdigest()
+    assert all((r.located_sha256 == none) == (r.n_located == 0) for r in rows)
