@@ -1,7 +1,7 @@
 """Conversations in any known layout to canonical turns, and turns to one marked-up text.
 
 A layout is known by its fingerprint: the sha256 of its sorted nested field paths, array steps
-included, without the fields that no layout knows. A fingerprint selects a declarative mapping:
+included, without the fields that the layout does not know. A fingerprint selects a declarative mapping:
 which path holds the turns, or which fields become which turns in which order. Records of
 different layouts in one column are told apart row by row. All of it is column expressions.
 """
@@ -37,7 +37,7 @@ class Mapping:
 MAPPINGS = (
     Mapping("turn rows", ("conv_id", "role", "text", "turn"), table=("conv_id", "turn", "role", "text")),
     Mapping("messages", ("messages", "messages[]", "messages[].content", "messages[].role"),
-            turns=("messages", "role", "content")),
+            ("system",), (("system", "system"),), turns=("messages", "role", "content")),
     Mapping("from and value", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"),
             ("system",), (("system", "system"),), turns=("conversations", "from", "value")),
     Mapping("instruction", ("instruction", "output"), ("input", "system"),
@@ -105,14 +105,29 @@ def turns_of_table(df: DataFrame, mappings: Sequence[Mapping] = MAPPINGS) -> Dat
     )
 
 
-def record_fingerprint(record: Column, mappings: Sequence[Mapping] = MAPPINGS) -> Column:
-    """Fingerprint of a variant record, from the fields it really has (null fields do not count)."""
+def record_paths(record: Column, mappings: Sequence[Mapping] = MAPPINGS) -> Column:
+    """Known paths that a variant record really has: null fields do not count, a list has those of any element."""
     held = []
     for path in known_paths(mappings):
-        steps = path.replace("[]", "[0]")
-        there = F.schema_of_variant(F.try_variant_get(record, f"$.{steps}", "variant"))
-        held.append(F.when(there.isNotNull() & (there != "VOID"), F.lit(path)))
-    return F.sha2(F.array_join(F.array_compact(F.array(*held)), "\n"), 256)
+        outer, _, inner = path.partition("[]")
+        if outer == path:
+            there = _is_there(record, f"$.{path}")
+        else:
+            elements = F.try_variant_get(record, f"$.{outer}", "array<variant>")
+            there = F.exists(elements, lambda x: _is_there(x, f"${inner}".replace("[]", "[0]")))
+        held.append(F.when(there, F.lit(path)))
+    return F.array_compact(F.array(*held))
+
+
+def _is_there(record: Column, path: str) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
+    return F.coalesce(kind != "VOID", F.lit(False))
+
+
+def record_fingerprint(paths: Column, mapping: Mapping) -> Column:
+    """Fingerprint of a record's paths among those that `mapping` knows, in the order of their names."""
+    own = sorted({*mapping.required, *mapping.optional})
+    return F.sha2(F.array_join(F.filter(paths, lambda p: p.isin(own)), "\n"), 256)
 
 
 def turns_of_records(df: DataFrame, json: str, key: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
@@ -122,9 +137,9 @@ def turns_of_records(df: DataFrame, json: str, key: str, mappings: Sequence[Mapp
     """
     record = F.try_parse_json(F.col(json))
     base = df.select(F.col(key).alias("conv_id"), record.alias("_r"))
-    base = base.withColumn("_f", record_fingerprint(F.col("_r"), mappings))
+    base = base.withColumn("_p", record_paths(F.col("_r"), mappings))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
-    for mapping in mappings:
+    for mapping in reversed(mappings):  # the first that answers is the one, as in a table
         if mapping.table:
             continue
         marks = list(fingerprints([mapping]))
@@ -143,7 +158,7 @@ def turns_of_records(df: DataFrame, json: str, key: str, mappings: Sequence[Mapp
             listed = F.try_variant_get("_r", f"$.{path}", f"array<struct<{role}: string, {text}: string>>")
             parts.append(F.transform(listed, lambda t: F.struct(
                 F.coalesce(t[role], F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))))
-        hit = F.col("_f").isin(marks)
+        hit = record_fingerprint(F.col("_p"), mapping).isin(marks)
         turns = F.when(hit, F.concat(*[p.cast(f"array<{TURN}>") for p in parts])).otherwise(turns)
         layout = F.when(hit, F.lit(mapping.name)).otherwise(layout)
     out = base.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "_t"))

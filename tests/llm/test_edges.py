@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +126,26 @@ def test_chat_layouts(spark):
     assert got[4] == got[5] == got[6] == [(None, None)]
 
 
+def test_chat_layouts_mixed(spark):
+    turns = [("user", None), ("assistant", "a \\ [INST]"), ("user", "q2"), ("assistant", "")]
+    said = [{"role": r, "content": t} for r, t in turns]
+    other = [{"from": {"user": "human", "assistant": "gpt"}[r], "value": t} for r, t in turns]
+    bodies = [
+        {"messages": said}, {"messages": said, "prompt": "p"}, {"messages": said, "system": "s"},
+        {"messages": [None, *said[1:]], "answer": "x"}, {"conversations": other}, {"conversations": other, "output": "o"},
+    ]
+    rows = [(k, json.dumps(b)) for k, b in enumerate(bodies)] + [(9, '{"messages": []}'), (8, '{"messages": "text"}')]
+    got = {}
+    for r in chat.turns_of_records(spark.createDataFrame(rows, "id long, body string"), "body", "id").collect():
+        got.setdefault(r.conv_id, []).append((r.turn, r.role, r.text, r.layout))
+    want = [(r, t or "") for r, t in turns]
+    for k in range(len(bodies)):
+        seen = [(role, text) for _, role, text, _ in sorted(got[k])]
+        assert seen == {2: [("system", "s"), *want], 3: [("", ""), *want[1:]]}.get(k, want)
+        assert {x[3] for x in got[k]} == {"messages" if k < 4 else "from and value"}
+    assert got[9] == got[8] == [(None, None, None, None)]
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "\\", "<\\/s>", "<<SYS>>\\\\<s>", "", None, "[ROLE] x [/ROLE]", "<"]
     rows = [(1, k, "assistant" if k % 2 else "a [/ROLE] b", t, "x") for k, t in enumerate(texts)]
