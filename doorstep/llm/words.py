@@ -101,7 +101,7 @@ def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(words.edge)
     n = len(hashes)
     windows = mix(hashes)  # so that the order of words counts
-    for k in range(1, width):
+    for k in range(1, min(width, n)):
         windows[: n - k] = mix(windows[: n - k] + hashes[k:])
     last = np.repeat(words.edge[1:], count)
     whole = np.arange(n) + width <= last
