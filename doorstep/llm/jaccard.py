@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorstep.llm.components import components
-from doorstep.llm.store import pieces, stored
+from doorstep.llm.store import packed, pieces, stored
 from doorstep.llm.words import mix, shingle_hashes, split_words
 
 COUNTERS = 1 << 20
@@ -319,14 +319,11 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     """
     found = similar_texts(docs, width, num, den)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    chosen = found.where("part IS NOT NULL").groupBy("part").agg(F.min(order).alias("_o")).select(
-        F.col("_o.doc_id").alias("_doc"), F.col("_o.text_hash").alias("_hash")
-    )
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (own == F.col("_hash"))
-    kept = docs.where(words).join(chosen, same, "left_semi").withColumn("_own", own)
-    return (
-        kept.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
-        .unionByName(docs.where(~words))
+    chosen = found.where("part IS NOT NULL").groupBy("part").agg(F.min(order).alias("least")).select(
+        F.col("least.doc_id").alias("chosen_id"), F.col("least.text_hash").alias("chosen_hash")
     )
+    text = F.coalesce("text", F.lit(""))
+    rows = packed(docs, own_id=F.col("doc_id"), own_hash=F.xxhash64(text), words=text.rlike(r"[^\x20\x09-\x0D]"))
+    same = F.col("own_id").eqNullSafe(F.col("chosen_id")) & (F.col("own_hash") == F.col("chosen_hash"))
+    kept = rows.where("words").join(chosen, same, "left_semi").dropDuplicates(["own_id", "own_hash"])
+    return kept.unionByName(rows.where("NOT words")).select("row.*")

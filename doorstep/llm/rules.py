@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doorstep.llm.store import packed
+
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -99,21 +101,28 @@ POLICIES = (
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` plus the measurements; a null text counts as none. Clashing columns are replaced."""
+    """`docs` plus the measurements; a null text counts as none.
+
+    Columns of the input that have a measurement's name are replaced, all others pass unchanged.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.trim(x, F.lit(SPACE)) != "")
-    first = docs.withColumns({"_words": words_of(body), "_lines": lines})
-    return first.withColumns({
-        "n_words": F.size("_words").cast("bigint"),
-        "word_chars": F.char_length(F.array_join("_words", "")).cast("bigint"),
-        "n_symbols": F.regexp_count(body, F.lit("[" + SYMBOLS + "]")).cast("bigint"),
-        "n_lines": F.size("_lines").cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("bigint"),
-        "n_capitals": F.regexp_count(body, F.lit("[A-Z]")).cast("bigint"),
-        "n_stress": F.regexp_count(body, F.lit("!!|[?][?]")).cast("bigint"),
-        "n_digits": F.regexp_count(body, F.lit("[0-9]")).cast("bigint"),
-    }).drop("_words", "_lines")
+    rows = packed(docs, body=body, words=words_of(body), lines=lines)
+    values = {
+        "n_words": F.size("words"),
+        "word_chars": F.char_length(F.array_join("words", "")),
+        "n_symbols": F.regexp_count("body", F.lit("[" + SYMBOLS + "]")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": repeated_words(F.col("words")),
+        "n_capitals": F.regexp_count("body", F.lit("[A-Z]")),
+        "n_stress": F.regexp_count("body", F.lit("!!|[?][?]")),
+        "n_digits": F.regexp_count("body", F.lit("[0-9]")),
+    }
+    return rows.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in values],
+        *[v.cast("bigint").alias(n) for n, v in values.items()],
+    )
 
 
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from doorstep.session import fresh_path, prepare
 
@@ -36,6 +37,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The caller's row as one struct `row`, beside `columns`: no name of the caller's clashes."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20):
     """Runs of rows whose texts hold about `limit` bytes; a longer text is a run of its own."""
     for batch in batches:
