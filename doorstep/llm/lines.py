@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doorstep.llm.store import stored
+from doorstep.llm.rules import bind
+from doorstep.llm.store import packed, stored
 from doorstep.llm.words import mix
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHARDS = 4096
+#: Shards at least, and the probes (a line of a document is one) that a shard has at most on average.
+SHARDS, SHARD_PROBES = 4096, 1 << 18
 LEVEL_SEED = 0x51ED270B
 
 
@@ -142,24 +144,29 @@ def line_index(counts: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int = SHARDS) -> DataFrame:
-    """Per (doc_id, text_hash): `drop`, the hashes of its lines that at least `least` rows hold."""
+def shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int | None = None) -> DataFrame:
+    """Per (doc_id, text_hash): `drop`, the sorted hashes of its lines that at least `least` rows hold.
+
+    The number of shards follows the lines counted, so that a shard fits a task at any size.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    # Distinct as strings, whose set is a hash set; structs would be compared pair by pair.
+    keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
     # Written once: counting and probing both read hashes, not texts.
     probes = stored(
         docs.select(
             "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-            F.explode(F.array_distinct(
-                F.transform(F.transform(lines_of(F.col("text")), line_key), hashes_of)
-            )).alias("_k"),
+            F.explode(F.transform(keys, hashes_of)).alias("k"),
         )
-        .where(F.col("_k.n") >= shortest)
-        .select("doc_id", "text_hash", F.col("_k.a").alias("a"), F.col("_k.b").alias("b")),
+        .where(F.col("k.n") >= shortest)
+        .select("doc_id", "text_hash", F.col("k.a").alias("a"), F.col("k.b").alias("b")),
         "line-probes",
     )
     counts = stored(
         probes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "line-counts"
     )
+    if shards is None:
+        shards = max(SHARDS, -(-(counts.agg(F.sum("n")).first()[0] or 0) // SHARD_PROBES))
     # At most `shards` rows: how many copies of each shard its load asks for.
     loads = counts.groupBy(shard_of(F.col("a"), shards).alias("shard")).agg(F.sum("n").alias("load"))
     mean = (loads.agg(F.avg("load")).first()[0]) or 1.0
@@ -180,42 +187,56 @@ def shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: in
         _probe(least), f"doc_id {kind}, text_hash long, a long, b long"
     )
     return hits.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("a", "b")).alias("drop")
+        F.sort_array(F.collect_set(F.struct("a", "b"))).alias("drop")
+    )
+
+
+def is_in(value: Column, found: Column) -> Column:
+    """Whether a sorted array has the value: a binary search, so that a long text costs n log n."""
+    steps = F.array(*[F.lit(1 << s) for s in range(30, -1, -1)])
+    # How many entries are not above the value, one bit after another.
+    upto = F.aggregate(
+        F.filter(steps, lambda s: s <= F.size(found)), F.lit(0),
+        lambda at, s: F.when(
+            (at + s <= F.size(found)) & (F.get(found, at + s - 1) <= value), at + s
+        ).otherwise(at),
     )
+    return F.coalesce(F.get(found, upto - 1) == value, F.lit(False))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int = SHARDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int | None = None) -> DataFrame:
     """`docs` plus `kept_text`, `n_lines` and `n_dropped`.
 
     Null and empty texts have one empty line, which is never dropped. All copies of a shared
-    line go, in every row; the other lines keep their order. Other columns pass unchanged.
+    line go, in every row; the other lines keep their order. Equal rows count as rows of their
+    own. Other columns pass unchanged, whatever their names; those three are replaced.
     """
-    columns = docs.columns
+    added = ("kept_text", "n_lines", "n_dropped")
     found = shared_lines(docs, least, shortest, shards).select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop")
+        F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "drop"
     )
-    lines = lines_of(F.col("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")
+    rows = packed(
+        docs, own_id=F.col("doc_id"), own_hash=F.xxhash64(F.coalesce("text", F.lit(""))),
+        lines=lines_of(F.col("text")),
     )
-    joined = docs.join(found, same, "left")
-
-    def goes(key: Column) -> Column:
-        return F.array_contains(
-            F.col("_drop"), F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
-        )
+    same = F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_hash") == F.col("found_hash"))
 
     def stays(line: Column) -> Column:
-        return ~F.exists(F.array(line_key(line)), goes)
-
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, stays))
-    return joined.select(*columns, F.size(lines).cast("bigint").alias("n_lines"), kept.alias("_kept")).select(
-        *columns, F.array_join("_kept", "\n").alias("kept_text"), "n_lines",
-        (F.col("n_lines") - F.size("_kept")).alias("n_dropped"),
+        return ~bind(line_key(line), lambda k: is_in(
+            F.struct(F.xxhash64(k).alias("a"), F.xxhash64(k, F.lit(1)).alias("b")), F.col("drop")
+        ))
+
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    return rows.join(found, same, "left").select(
+        "row", F.size("lines").cast("bigint").alias("n_lines"), kept.alias("kept")
+    ).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added],
+        F.array_join("kept", "\n").alias("kept_text"), "n_lines",
+        (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
     )
 
 
-def without_shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int = SHARDS) -> DataFrame:
+def without_shared_lines(docs: DataFrame, least: int = 10, shortest: int = 1, shards: int | None = None) -> DataFrame:
     """The same rows and columns with `text` and `n_chars` of what is kept."""
     kept = dedup_lines(docs, least, shortest, shards)
     fresh = {"text": F.col("kept_text")}
