@@ -193,19 +193,23 @@ _TARGET = (
             SELECT pool, k, sum(p) OVER (PARTITION BY pool ORDER BY k) AS below FROM p
         ) GROUP BY pool
     ), drawn AS (
-        SELECT doc_id, source, steps,
+        SELECT doc_id, source, text, steps,
             CAST('0x' || substr(md5('{SEED}:' || doc_id || ':'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 AS u
-        FROM documents JOIN steps ON pool = {_POOL}
+        FROM documents LEFT JOIN steps ON pool = {_POOL}
     )
-    SELECT doc_id, source, CAST(copy AS INTEGER) AS copy,
-        md5('{SEED}:place:' || doc_id || ':' || copy) AS place
+    SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, md5('{SEED}:place:' || doc_id || ':' || copy) AS place,
+        sha256(coalesce(text, '')) AS text_sha256
     FROM (
-        SELECT doc_id, source, unnest(range(1, len(list_filter(steps, lambda s: s <= u)) + 1)) AS copy FROM drawn
+        SELECT doc_id, source, text, unnest(range(1, CASE WHEN steps IS NULL THEN 2
+            ELSE len(list_filter(steps, lambda s: s <= u)) + 1 END)) AS copy FROM drawn
     )
 """)
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return mixing.mix(docs, WEIGHTS, seed=SEED).select("doc_id", "source", "copy", "place")
+    """The mixed documents; the digest is taken of the text that came through the shuffle."""
+    mixed = mixing.mix(table(spark, folder, "documents"), WEIGHTS, seed=SEED)
+    return mixed.select(
+        "doc_id", "source", "copy", "place", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
 
 
 @query("op5_nearest_vectors")
@@ -240,4 +244,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
     rows = run(spark, folder)
-    return rows.select("doc_id", "source", "n_chars", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+    ids = F.concat_ws(",", F.transform("ids", lambda i: i.cast("string")))
+    return rows.select(
+        "doc_id", "source", "n_chars", "n_tokens", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+    )

@@ -1,14 +1,19 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import json
+import time
+
+from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from doorstep.llm import bpe, chat, components, fixity, hnsw, jaccard, lines, maxent, mixing, rules, toxicity
+from doorstep.llm import bpe, chat, components, fixity, hnsw, jaccard, lines, maxent, mixing, rules, toxicity, words
 from doorstep.llm.queries import vocabulary_path
 from doorstep.llm.store import ready
+from tests.llm.test_queries import plain_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, row string, copy int, failed string"
 LONG = " ".join(f"w{k % 700}" for k in range(30_000))
@@ -39,6 +44,29 @@ def test_lines(docs):
     assert lines.without_shared_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_long_texts_cost_no_more_each(spark):
+    ready(spark)
+
+    def seconds(n):
+        texts = [(k, "\n".join(f"line {i}" for i in range(n)) + f"\nown {k}") for k in range(12)]
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        began = time.perf_counter()
+        got = lines.dedup_lines(df, least=10).collect()
+        assert {(r.doc_id, r.kept_text, r.n_dropped) for r in got} == {(k, f"own {k}", n) for k in range(12)}
+        return time.perf_counter() - began
+
+    seconds(100)
+    few, many = seconds(3000), seconds(24000)
+    assert many < 16 * few
+
+
+def test_is_in(spark):
+    df = spark.createDataFrame([([1, 3, 5, 9], v) for v in range(11)] + [([], 1), ([4], 4)], "s array<int>, v int")
+    assert [r[0] for r in df.select(lines.is_in(F.col("v"), F.col("s"))).collect()] == [
+        v in (1, 3, 5, 9) for v in range(11)
+    ] + [False, True]
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
     sizes, bits, slot = lines.build_mph(keys)
@@ -85,6 +113,42 @@ def test_encode_and_decode(docs):
     assert back.where("doc_id in (3, 4) AND size(ids) = 0").count() == 2
 
 
+@pytest.mark.parametrize("width", range(1, 7))
+def test_short_runs(spark, width):
+    ready(spark)
+    texts = ["", None, "hello world", "a", "a b c", "a b c d", "A b  c d", " ", "a b c d e", "a b c d e f", "a b c d e f g", "hello world"]
+    want = plain_components([(k, t) for k, t in enumerate(texts)], width, 4, 5)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for parts in (1, len(texts)):
+        got = {tuple(r) for r in jaccard.similar_texts(df.repartition(parts), width).select("doc_id", "n_shingles", "component_id").collect()}
+        assert got == want
+
+
+def test_short_text_after_a_very_long_one(spark):
+    ready(spark)
+    long = " ".join(f"w{k}" for k in range(700_000))
+    df = spark.createDataFrame([(1, long), (2, "hello world"), (3, "hello world"), (4, long + " x")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_texts(df.coalesce(1), 4, 85, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 1}
+    assert hash_runs(["hello world"], 4) == hash_runs(["hello world", "x"], 4)[:1]
+
+
+def hash_runs(texts, width):
+    hashes, edge = words.shingle_hashes(words.split_words(pa.array(texts)), width)
+    return [hashes[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])]
+
+
+def test_names_of_the_caller(docs):
+    names = ["steps", "_pool", "_u", "rate", "u", "key", "_drop", "_doc", "_hash", "_own", "own_id", "_words", "_lines", "words", "row"]
+    more = docs.withColumns({n: F.lit(n) for n in names})
+    for out in (
+        mixing.mix(more, {"a": 0.5}), jaccard.one_of_each(more), rules.ledger(more), lines.dedup_lines(more, least=3),
+    ):
+        assert set(more.columns) - {"failed"} <= set(out.columns)
+        row = out.select(*[F.col(f"`{n}`") for n in names]).first()
+        assert row is None or list(row) == names
+
+
 def test_rules(docs):
     rows = {r.doc_id: r for r in rules.ledger(docs).collect()}
     assert (rows[3].n_words, rows[3].n_repeat_words, rows[3].n_lines) == (0, 0, 0)
@@ -110,6 +174,27 @@ def test_mix(docs, spark):
     assert mixing.mix(docs, {"a": 0.5}).columns[: 2] == ["doc_id", "text"]
 
 
+def test_mix_of_sources_without_characters(spark):
+    rows = [(k, None if k % 2 else "", "a") for k in range(100)] + [(100 + k, "abcd", "b") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, {"a": 0.5, "b": 0.5}).collect()
+    assert sorted(r.doc_id for r in got if r.source == "a") == list(range(100))
+    assert {r.doc_id for r in got if r.source == "b"} <= set(range(100, 200))
+    assert mixing.mix(df.where("source = 'a'"), {"a": 1.0}).count() == 100
+    assert mixing.mix(df, {"a": 1.0}).where("source = 'b'").count() == 0  # weight 0
+
+
+def test_mix_of_high_rates(spark):
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y" * 1_000_000, "b")], "doc_id long, text string, source string")
+    n = mixing.mix(df.select("doc_id", "text", "source"), {"a": 0.5}).where("source = 'a'").count()
+    assert abs(n - 500_000) < 12 * 500_000**0.5
+    table = {r.pool: r for r in mixing.rates(df, {"a": 0.5}).collect()}
+    assert len(table["a"].steps) < 25_000 and table["a"].first > 0
+    far = spark.createDataFrame([(u,) for u in (1e-9, 0.01, 0.3, 0.5, 0.9, 0.999999)], "u double")
+    mean = 4e6
+    for r in far.select("u", mixing.large_count(F.lit(mean), F.col("u")).alias("n")).collect():
+        assert abs(r.n - (mean + NormalDist().inv_cdf(r.u) * mean**0.5)) < 10
+
 def test_chat_layouts(spark):
     records = [
         (1, '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": null}], "id": 7}'),
