@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorstep.llm import bpe, chat, fixity, hnsw, jaccard, lines, maxent, mixing, rules, toxicity
+from doorstep.llm import bpe, chat, fixity, hnsw, jaccard, lines, maxent, minmax, mixing, rules, toxicity
 from doorstep.llm.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,6 +238,11 @@ def op4_maxent_scores(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.score_texts(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op11_minmax_near_dedup")
+def op11_minmax_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, folder, "documents"), width=2, num=80, den=100)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline at the repository's top, over all its stages."""

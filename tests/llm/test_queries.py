@@ -15,7 +15,7 @@ from doorstep.llm.store import table
 from tools.compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-OPERATORS = range(1, 11)
+OPERATORS = range(1, 14)
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +114,14 @@ def test_jaccard_components(spark):
     assert got == plain_components([tuple(r) for r in docs], 4, 85, 100)
 
 
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_minmax_components(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text").collect()
+    got = {tuple(r) for r in QUERIES["op11_minmax_near_dedup"](spark, folder).collect()}
+    want = plain_components([tuple(r) for r in docs], 2, 80, 100)
+    assert got == {(i, n, c, i == c) for i, n, c in want} and len({c for _, _, c in want}) < len(want)
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, folder).collect()}
