@@ -9,12 +9,16 @@
    permutations far apart, so that no two bands share more than one permutation. Two sets of
    similarity 0.8 miss each other in all bands with odds of (1 - 0.8**5)**40, 1.3e-7.
 3. Equal sets are one node. In a bucket (a band's value) the sets are not paired off: one of
-   them, another in every band, leads, and a set is compared with the two leaders it meets
-   most often and first. Verified links make components. A second round compares sets of one
-   bucket that are still in different components: those outside the bucket's largest with all
-   others. A pair inside a component can change nothing, so no link is lost by it.
+   them, drawn anew in every bucket, leads, and a set is compared with the two nearest of its
+   leaders by parity (4). Confirmed links make components. Once more, sets outside their buckets'
+   largest component meet leaders from it and from others. A last round compares all sets of a
+   bucket that are still in different components: those outside the largest with all others. A
+   pair inside a component can change nothing, so no link is lost, and a group of near copies
+   costs as much as its size and its stragglers.
 4. Before that, and before any set is moved, a pair must agree in enough of 200 signature bits: at
    similarity 0.8 a tenth of them differs on average, more than `bits_apart` with odds under 1e-8.
+   And it must pass the sets' parity maps (an odd sketch: 1,024 bits, each flipped by every member
+   that falls on it), whose difference is a lower bound of the sets' own, so the test is exact.
 5. Pairs left are confirmed on whole sets, recomputed from the texts for the sets in question.
 
 A text with fewer than n words is one shingle; a text without words, or null, links with nothing.
@@ -24,10 +28,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doorstep.llm.components import components
@@ -38,6 +43,10 @@ from doorstep.llm.words import mix, shingle_hashes, split_words
 PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 SKETCH = 4
+#: Numbers of 64 bits in a set's parity map.
+PARITY = 16
+#: Leaders a set is compared with in a turn, and turns before all pairs left are compared.
+NEAREST, TURNS = 2, 1
 #: Slots of the table of wanted sets: at least 16 per set, within these bounds (8 KB, 32 MB).
 SIEVE = (1 << 16, 1 << 28)
 
@@ -89,6 +98,14 @@ def bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(members: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Per set 64 * PARITY bits: whether an odd number of its members falls on each."""
+    bits = 64 * PARITY
+    place = np.repeat(np.arange(len(edge) - 1) * bits, np.diff(edge)) + (members & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=bits * (len(edge) - 1)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view("<u8")
+
+
 def sketches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """A bit of each signature value, in four 64-bit numbers per set."""
     bits = np.zeros((low.shape[1], 64 * SKETCH), np.uint8)
@@ -97,7 +114,7 @@ def sketches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view("<u8")
 
 
-SIGNS = "n int, sid long, sketch array<long>, bands array<long>"
+SIGNS = "n int, sid long, sketch array<long>, parity array<long>, bands array<long>"
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -121,9 +138,10 @@ def _signatures(width: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id"), pa.array(sizes.astype(np.int32)),
-                    pa.array(identities(members, edge), mask=sizes == 0), _lists(sketch), _lists(buckets),
+                    pa.array(identities(members, edge), mask=sizes == 0), _lists(sketch),
+                    _lists(parities(members, edge)), _lists(buckets),
                 ],
-                names=["doc_id", "n", "sid", "sketch", "bands"],
+                names=["doc_id", "n", "sid", "sketch", "parity", "bands"],
             )
 
     return run
@@ -152,13 +170,24 @@ def _alike(shared: Column, sizes: Column, num: int, den: int) -> Column:
     return shared.cast("bigint") * (num + den) >= sizes.cast("bigint") * num
 
 
+def _apart(name: str, size: int, a: str, b: str) -> Column:
+    """How many bits of two entries' maps differ."""
+    each = [F.bit_count(F.col(f"{a}.{name}")[k].bitwiseXOR(F.col(f"{b}.{name}")[k])) for k in range(size)]
+    return reduce(lambda x, y: x + y, each)
+
+
 def _may_be_alike(a: str, b: str, num: int, den: int) -> Column:
-    """Sizes and sketches of two entries leave the similarity possible."""
+    """Sizes, sketches and parities of two entries leave the similarity possible.
+
+    Every bit in which parities differ is the place of a member that only one set has, so they
+    bound what the sets do not share: nothing alike is lost by them.
+    """
     n, m = F.col(f"{a}.n").cast("bigint"), F.col(f"{b}.n").cast("bigint")
-    apart = sum(
-        (F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH)), F.lit(0)
+    return (
+        (F.least(n, m) * den >= F.greatest(n, m) * num)
+        & (_apart("sketch", SKETCH, a, b) <= bits_apart(num, den))
+        & (_apart("parity", PARITY, a, b) * (num + den) <= (n + m) * (den - num))
     )
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart <= bits_apart(num, den))
 
 
 def bits_apart(num: int, den: int) -> int:
@@ -182,7 +211,7 @@ class _Search:
         self.sets = stored(
             self.signs.where("sid IS NOT NULL").groupBy("sid").agg(
                 F.min("doc_id").alias("least_id"), F.first("n").alias("n"),
-                F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
+                F.first("sketch").alias("sketch"), F.first("parity").alias("parity"), F.first("bands").alias("bands"),
             ),
             "minmax-sets",
         )
@@ -196,12 +225,21 @@ class _Search:
         ).where("least <> most").select("bucket", F.col("lead.sid").alias("lead"))
         return stored(attach(entries, ends, "bucket", "inner"), "minmax-shared")
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose sizes and sketches leave them alike."""
+    def nearest(self, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Of each `y` the NEAREST pairs (x, y) whose sizes and sketches leave them alike, stored."""
         for end in ("y", "x"):
-            side = self.sets.select(F.col("sid").alias(end), F.struct("n", "sketch").alias(f"s{end}"))
-            pairs = pairs.join(side, end)
-        return pairs.where(_may_be_alike("sx", "sy", self.num, self.den)).select("x", "y")
+            side = self.sets.select(F.col("sid").alias(end), F.struct("n", "sketch", "parity").alias(f"s{end}"))
+            pairs = attach(stored(pairs, "minmax-met"), side, end, "inner")
+        order = Window.partitionBy("y").orderBy("apart", "x")
+        near = pairs.where(_may_be_alike("sx", "sy", self.num, self.den)).select(
+            "x", "y", _apart("parity", PARITY, "sx", "sy").alias("apart")
+        )
+        if known is not None:
+            near = near.join(known, ["x", "y"], "left_anti")
+        return stored(
+            near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= NEAREST).select("x", "y"),
+            "minmax-pairs",
+        )
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the stored pairs (x, y) whose whole sets are alike, as links a, b."""
@@ -230,51 +268,68 @@ class _Search:
             out[row.part - 1] = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
         return out.ravel()
 
-    def roots(self) -> DataFrame:
-        """`node`, `root` of every set that is linked and is not the smallest of its component."""
-        shared = self.shared_buckets()
-        met = (
-            shared.where("sid <> lead").groupBy(F.col("sid").alias("y"), F.col("lead").alias("x"))
-            .agg(F.count(F.lit(1)).alias("times"))
-        )
-        first = stored(self.likely(
-            met.groupBy("y").agg(F.max(F.struct("times", "x")).alias("most"), F.min("x").alias("least"))
-            .select(F.explode(F.array_distinct(F.array("most.x", "least"))).alias("x"), "y")
-        ), "minmax-pairs")
-        roots = components(self.confirmed(first))
+    def placed(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """Entries of the buckets that still hold several components: `bucket`, `sid`, `part`, `major`."""
         parts = roots.select(F.col("node").alias("sid"), "root")
-
-        placed = attach(shared.select("bucket", "sid"), parts, "sid").select(
-            "bucket", "sid", F.coalesce("root", "sid").alias("part")
-        )
-        sizes = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k"))
+        entries = attach(shared, parts, "sid").select("bucket", "sid", F.coalesce("root", "sid").alias("part"))
+        sizes = entries.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k"))
         mixed = (
             sizes.groupBy("bucket")
             .agg(F.max(F.struct("k", "part")).alias("top"), F.count(F.lit(1)).alias("parts"))
             .where("parts > 1").select("bucket", F.col("top.part").alias("major"))
         )
-        placed = stored(
-            placed.join(mixed, "bucket").join(self.sets.select("sid", "n", "sketch"), "sid"), "minmax-placed"
+        return stored(entries.join(mixed, "bucket"), "minmax-placed")
+
+    def more_leaders(self, placed: DataFrame, turn: int) -> DataFrame:
+        """Sets outside their buckets' largest component, with a leader from it and one from another."""
+        draw = F.struct(F.xxhash64("sid", "bucket", F.lit(turn)).alias("h"), "sid", "part")
+        leads = placed.groupBy("bucket").agg(
+            F.min(F.when(F.col("part") == F.col("major"), draw)).alias("inside"),
+            F.min(F.when(F.col("part") != F.col("major"), draw)).alias("outside"),
+        )
+        rest = placed.where("part <> major").select("bucket", F.col("sid").alias("y"), F.col("part").alias("own"))
+        return (
+            attach(rest, leads, "bucket", "inner")
+            .select("y", "own", F.explode(F.array("inside", "outside")).alias("lead"))
+            .where("lead.part <> own").select(F.col("lead.sid").alias("x"), "y").distinct()
         )
-        p, q = placed.where("part <> major").alias("p"), placed.alias("q")
-        second = p.join(
+
+    def across(self, placed: DataFrame) -> DataFrame:
+        """All pairs of one bucket and two components that sizes and sketches leave alike."""
+        rows = placed.join(self.sets.select("sid", "n", "sketch", "parity"), "sid")
+        p, q = rows.where("part <> major").alias("p"), rows.alias("q")
+        return p.join(
             q,
             (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.part") != F.col("q.part"))
             & ((F.col("q.part") == F.col("q.major")) | (F.col("p.sid") < F.col("q.sid")))
             & _may_be_alike("p", "q", self.num, self.den),
         ).select(F.least("p.sid", "q.sid").alias("x"), F.greatest("p.sid", "q.sid").alias("y")).distinct()
-        known = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        second = stored(second.join(known, ["x", "y"], "left_anti"), "minmax-pairs")
-        if second.isEmpty():
-            return roots
-        more = self.confirmed(second)
+
+    def joined(self, roots: DataFrame, links: DataFrame) -> DataFrame:
+        """Roots after further links; one link between two components says what any number would."""
         for end in ("a", "b"):
             side = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-            more = more.join(side, end, "left")
-        # One link between two components says what any number of them would.
-        between = more.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
+            links = links.join(side, end, "left")
+        between = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
         return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(between))
 
+    def roots(self) -> DataFrame:
+        """`node`, `root` of every set that is linked and is not the smallest of its component."""
+        shared = self.shared_buckets()
+        met = shared.where("sid <> lead").select(F.col("lead").alias("x"), F.col("sid").alias("y")).distinct()
+        known = self.nearest(met)
+        roots = components(self.confirmed(known))
+        shared = shared.select("bucket", "sid")
+        for turn in range(1, TURNS + 1):
+            pairs = self.nearest(self.more_leaders(self.placed(shared, roots), turn), known)
+            if pairs.isEmpty():
+                break
+            known = known.union(pairs)
+            roots = self.joined(roots, self.confirmed(pairs))
+        tried = known.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        last = stored(self.across(self.placed(shared, roots)).join(tried, ["x", "y"], "left_anti"), "minmax-pairs")
+        return roots if last.isEmpty() else self.joined(roots, self.confirmed(last))
+
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id and kept.
