@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorstep.llm.store import stored
+from doorstep.llm.store import discard, stored
 
 #: Links that one task holds at a time; more of them only make more, smaller forests.
 FOREST = 1 << 20
@@ -81,7 +81,9 @@ def components(links: DataFrame) -> DataFrame:
                 F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
             )).alias("e")
         )
-        edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
+        fresh = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
+        discard(edges)
+        edges = fresh
         now = _state(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorstep.llm import bpe, chat, fixity, hnsw, jaccard, lines, maxent, minmax, mixing, rules, toxicity
+from doorstep.llm import bpe, chat, codebooks, fixity, hnsw, jaccard, lines, manifest, maxent, minmax, mixing, rules, toxicity
 from doorstep.llm.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,6 +243,117 @@ def op11_minmax_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, folder, "documents"), width=2, num=80, den=100)
 
 
+#: Unsigned crc32 of a number's decimal digits, bit by bit.
+_CRC = """
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+        lambda c, d: list_reduce(list_prepend(xor(c, d), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+@query("op12_merkle_manifest", f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, coalesce('=' || source, '') AS grp, {_leaf_sql("text")} AS leaf,
+            CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql(lower_sql("text"))} END AS other
+        FROM documents
+    ), nodes AS (
+        SELECT 0 AS level, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+            leaf AS hash, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+        UNION ALL
+        SELECT level + 1, grp, pos // 16, sha256(string_agg(hash, '' ORDER BY pos)), (n + 15) // 16
+        FROM nodes WHERE n > 1 GROUP BY ALL
+    ), tops AS (
+        SELECT 0 AS level, grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, hash, count(*) OVER () AS n
+        FROM nodes WHERE n = 1
+        UNION ALL
+        SELECT level + 1, '', pos // 16, sha256(string_agg(hash, '' ORDER BY pos)), (n + 15) // 16
+        FROM tops WHERE n > 1 GROUP BY level, pos // 16, n
+    ), paths AS (
+        SELECT 0 AS level, grp, pos, pos AS at, coalesce(other, leaf) AS own, '' AS proof, doc_id, leaf
+        FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves)
+        UNION ALL
+        SELECT p.level + 1, p.grp, p.pos, p.at // 16,
+            sha256(string_agg(CASE WHEN s.pos = p.at THEN p.own ELSE s.hash END, '' ORDER BY s.pos)),
+            p.proof || coalesce(string_agg(s.hash, '' ORDER BY s.pos) FILTER (WHERE s.pos <> p.at), ''), p.doc_id, p.leaf
+        FROM paths p JOIN nodes s ON s.level = p.level AND s.grp = p.grp AND s.pos // 16 = p.at // 16 AND s.n > 1
+        GROUP BY p.level, p.grp, p.pos, p.at, p.own, p.proof, p.doc_id, p.leaf
+    ), upper AS (
+        SELECT p.doc_id, p.leaf, p.grp, p.pos, t.hash AS subroot, 0 AS level, t.pos AS at, p.own, p.proof
+        FROM paths p JOIN nodes n ON n.grp = p.grp AND n.level = p.level AND n.n = 1 JOIN tops t ON t.level = 0 AND t.grp = p.grp
+        UNION ALL
+        SELECT p.doc_id, p.leaf, p.grp, p.pos, p.subroot, p.level + 1, p.at // 16,
+            sha256(string_agg(CASE WHEN s.pos = p.at THEN p.own ELSE s.hash END, '' ORDER BY s.pos)),
+            p.proof || coalesce(string_agg(s.hash, '' ORDER BY s.pos) FILTER (WHERE s.pos <> p.at), '')
+        FROM upper p JOIN tops s ON s.level = p.level AND s.pos // 16 = p.at // 16 AND s.n > 1
+        GROUP BY p.doc_id, p.leaf, p.grp, p.pos, p.subroot, p.level, p.at, p.own, p.proof
+    ), root AS (SELECT hash AS root, level FROM tops WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, own AS folded_root, own = root AS verified
+    FROM upper JOIN root USING (level)
+""")
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of the documents, and where it notices that texts were lower-cased afterwards."""
+    docs = table(spark, folder, "documents")
+    lower = F.translate("text", lines.UPPER, lines.LOWER)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.manifest(docs, changed={"text": lower}, where=hit)
+
+
+PARTS, ENTRIES, ROUNDS = 8, 16, 6
+
+
+def _codebooks_sql() -> str:
+    """All rounds one after another: assign parts, then replace entries by floored means."""
+    steps = [f"""
+        kept AS (
+            SELECT row_number() OVER () AS row, vec_id, label, len(embedding) // {PARTS} AS w,
+                list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+            SELECT row, part, q[part * w + 1 : (part + 1) * w] AS v FROM kept, range({PARTS}) p(part)
+        ), book0 AS (
+            SELECT part, e, v FROM parts JOIN (
+                SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept
+            ) USING (row) WHERE e < {ENTRIES}
+        )"""]
+    for turn in range(ROUNDS + 1):
+        steps.append(f"""
+        assigned{turn} AS (
+            SELECT row, part, any_value(v) AS v, min(d) AS d, arg_min(e, (d, e)) AS e FROM (
+                SELECT row, p.part, p.v, b.e, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+                FROM parts p JOIN book{turn} b ON p.part = b.part
+            ) GROUP BY row, part
+        )""")
+        if turn < ROUNDS:
+            steps.append(f"""
+        means{turn} AS (
+            SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+                SELECT part, e, i, sum(x)::BIGINT AS s, count(*) AS n
+                FROM (SELECT part, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM assigned{turn}) GROUP BY ALL
+            ) GROUP BY part, e
+        ), book{turn + 1} AS (
+            SELECT b.part, b.e, coalesce(m.v, b.v) AS v FROM book{turn} b LEFT JOIN means{turn} m ON m.part = b.part AND m.e = b.e
+        )""")
+    return f"""
+    WITH {', '.join(steps)}, coded AS (
+        SELECT row, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+        FROM assigned{ROUNDS} GROUP BY row
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM book{ROUNDS}) AS codebooks_sha256
+    FROM kept JOIN coded USING (row)
+    """
+
+
+@query("op13_vector_codes", _codebooks_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codebooks.compressed(table(spark, folder, "embeddings"), PARTS, ENTRIES, ROUNDS)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline at the repository's top, over all its stages."""

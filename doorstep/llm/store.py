@@ -34,7 +34,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read back: nothing above it runs again."""
     path = fresh_path(df.sparkSession, f"llm-{label}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table that no later step reads."""
+    session = table.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
