@@ -18,12 +18,23 @@ def _events(d: Domain):
 def _finish(d: Domain, start, df, *key):
     """Run a stream over everything there is and read its result."""
     out = fresh_path(d.spark, "stream")
+    if start is tables.compacted:
+        start(df, f"{out}/data", f"{out}/log", key, buckets=8).awaitTermination()
+        return tables.current_rows(d.spark, f"{out}/data")
     start(df, f"{out}/data", f"{out}/log").awaitTermination()
     if start is tables.changelog:
         return tables.current(d.spark, f"{out}/data", key)
     return d.spark.read.parquet(f"{out}/data")
 
 
+def _in_parts(d: Domain, df, parts: int):
+    """Rows in no order, in as many files, read as a stream of one file a batch."""
+    out = fresh_path(d.spark, "parts")
+    for part in range(parts):
+        df.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(out)
+    return tables.read_stream(d.spark, out, df.schema, files_per_batch=1)
+
+
 def _naive(df, *columns):
     for c in columns:
         df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
@@ -39,7 +50,19 @@ def _(d: Domain):
     latest = rules.latest_observations(
         _events(d), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"]
     )
-    return _finish(d, tables.changelog, latest, "user_id", "event_type")
+    return _finish(d, tables.compacted, latest, "user_id", "event_type")
+
+
+@check(
+    "stream_latest_in_batches", "X-S1",
+    """SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS id, arg_max(value, (ts, event_id)) AS value
+       FROM events GROUP BY 1, 2""",
+)
+def _(d: Domain):
+    """The same over ten batches in no order, every one of which rewrites the buckets it touches."""
+    rows = d.table("events").select("user_id", "event_type", "ts", F.col("event_id").alias("id"), "value")
+    latest = rules.latest_observations(_in_parts(d, rows, 10), ["user_id", "event_type"], ["ts", "id"], ["id", "value"])
+    return _finish(d, tables.compacted, latest, "user_id", "event_type")
 
 
 @check("stream_first_listings", "X-S2",
@@ -50,6 +73,24 @@ def _(d: Domain):
     return _finish(d, tables.append, unique.select("user_id", "event_type"))
 
 
+@check("stream_earliest_listings", "X-S2 W8",
+       """SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS id, min(ts) AS ts FROM events GROUP BY 1, 2
+          HAVING min(ts) <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def _(d: Domain):
+    """The earliest listing of each key, from files whose rows lie up to two days out of order."""
+    rows = d.table("events").select("user_id", "event_type", F.col("event_id").alias("id"), F.col("ts").cast("timestamp"))
+    out = fresh_path(d.spark, "days")
+    # Rows arrive up to 36 hours after their time; eight files hold them in order of arrival.
+    arrived = F.unix_timestamp("ts") + F.pmod(F.xxhash64("id"), F.lit(36)) * 3600
+    rows.withColumn("arrived", arrived).repartition(1).sortWithinPartitions("arrived", "id").drop("arrived").write.option(
+        "maxRecordsPerFile", max(1, -(-rows.count() // 8))
+    ).parquet(out)
+    _with_rocksdb(d)
+    stream = tables.read_stream(d.spark, out, rows.schema, files_per_batch=1)
+    first = cells.first_rows(stream, "ts", "2 days", ["user_id", "event_type"], ["id"])
+    return _naive(_finish(d, tables.append, first), "ts")
+
+
 @check(
     "stream_hourly_status_counts", "X-S4",
     """SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n
@@ -85,7 +126,7 @@ def _(d: Domain):
     status = rules.running_niche_status(
         _events(d), "user_id", hit.cast("bigint"), (~hit).cast("bigint")
     )
-    return _finish(d, tables.changelog, status, "user_id")
+    return _finish(d, tables.compacted, status, "user_id")
 
 
 def _with_rocksdb(d: Domain):
@@ -114,19 +155,21 @@ def _(d: Domain):
 @check(
     "stream_miss_ladder", "X-S3 W6",
     _ladder_sql("""SELECT DISTINCT n.business_id, n.question, coalesce(l.misses, 0) AS misses, l.last_miss_at, l.retry_after
-                   FROM numbered n LEFT JOIN ladder2 l ON l.business_id = n.business_id AND l.question = n.question"""),
+                   FROM facts n LEFT JOIN ladder2 l ON l.business_id = n.business_id AND l.question = n.question"""),
 )
 def _(d: Domain):
+    """All statuses, in ten batches in no order; blocked and failed lookups are seen and do not count."""
     _with_rocksdb(d)
-    e = _events(d)
+    e = tables.as_instant(d.table("events"), "ts")
     users = d.table("events").agg((F.max("user_id") + 1).alias("n")).first()[0]
     k = F.get_json_object("props", "$.k").cast("bigint")
     facts = e.select(
         (F.col("user_id") + users * (F.col("event_id") % 10)).alias("business_id"),
         F.when(F.col("event_type") == "error", "website").when(F.col("event_type") == "signup", "instagram_handle")
         .when(F.col("event_type") == "purchase", "ad_library").alias("question"),
-        F.when(k % 10 < 5, "ok").when(k % 10 < 8, "no_data").otherwise("other").alias("status"),
+        F.when(k % 10 < 5, "ok").when(k % 10 < 8, "no_data").when(k % 10 == 8, "blocked").otherwise("error").alias("status"),
         F.col("ts").alias("fetched_at"), F.col("event_id").alias("id"),
-    ).where(F.col("question").isNotNull() & F.col("status").isin("ok", "no_data"))
-    ladder = _finish(d, tables.changelog, cells.miss_ladders(facts), "business_id", "question")
+    ).where(F.col("question").isNotNull())
+    ladders = cells.miss_ladders(_in_parts(d, facts, 10), "400 days")
+    ladder = _finish(d, tables.compacted, ladders, "business_id", "question")
     return _naive(ladder, "last_miss_at", "retry_after")

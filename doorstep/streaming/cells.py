@@ -89,22 +89,58 @@ class CellMachine(StatefulProcessor):
         pass
 
 
+def _folded(ladder: tuple, facts: list[tuple[int, int, str]]) -> tuple:
+    """(misses, time of the last) after facts (time, id, status) in their order."""
+    misses, at = ladder
+    for when, _, status in facts:
+        if status == "ok":
+            misses, at = 0, None
+        elif status == "no_data":
+            misses, at = misses + 1, when
+    return misses, at
+
+
 class MissLadder(StatefulProcessor):
-    """Running miss count; a good answer clears it, blocked and failed lookups do not count."""
+    """Running miss count in event order; a good answer clears it, blocked and failed lookups do not count.
+
+    Observations that the watermark has not passed are kept one by one, and every row given out
+    has them folded in event order, whatever the order of arrival. What the watermark has passed is
+    folded into the ladder for good, by input or by timer, so the state holds the rows of one
+    lateness and two numbers per key. A repeated observation (time and id) counts once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.ladder = handle.getValueState("ladder", LADDER_STATE)
+        self.open = handle.getMapState("open", "at bigint, id bigint", "status string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for misses, at in zip(initialState.misses, initialState.last_miss_at):
+            self.ladder.update((int(misses), None if pd.isna(at) else _micros(at)))
+
+    def _settled(self, until: int) -> tuple:
+        """The ladder with everything before `until` folded in for good."""
+        ladder = self.ladder.get() if self.ladder.exists() else (0, None)
+        rows = sorted((at, number, status) for (at, number), (status,) in self.open.iterator())
+        passed = [r for r in rows if r[0] < until]
+        if passed:
+            ladder = _folded(ladder, passed)
+            self.ladder.update(ladder)
+            for at, number, _ in passed:
+                self.open.removeKey((at, number))
+        rest = rows[len(passed):]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        return _folded(ladder, rest)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         business, question = key
-        facts = pd.concat(list(rows)).sort_values(["fetched_at", "id"])
-        misses, at = self.ladder.get() if self.ladder.exists() else (0, None)
-        for when, status in zip(facts.fetched_at, facts.status):
-            if status == "ok":
-                misses, at = 0, None
-            elif status == "no_data":
-                misses, at = misses + 1, _micros(when)
-        self.ladder.update((misses, at if at is not None else 0))
+        for facts in rows:
+            for when, number, status in zip(facts.fetched_at, facts.id, facts.status):
+                self.open.updateValue((_micros(when), int(number)), (status,))
+        misses, at = self._settled(timerValues.getCurrentWatermarkInMs() * 1000)
         retry = (
             at + BACKOFF_DAYS[misses - 1] * DAY if 1 <= misses <= len(BACKOFF_DAYS) else None
         )
@@ -115,10 +151,57 @@ class MissLadder(StatefulProcessor):
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The row given out last holds what is settled now.
+        self._settled(timerValues.getCurrentWatermarkInMs() * 1000)
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+class FirstRow(StatefulProcessor):
+    """A key's earliest row, given out once the watermark has passed it."""
+
+    def __init__(self, columns: list[str], schema: str, order: list[str]) -> None:
+        self.columns, self.schema, self.order = columns, schema, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", self.schema)
+        self.given = handle.getValueState("given", "given boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.given.exists():
+            every = pd.concat(list(rows))
+            if self.first.exists():
+                every = pd.concat([pd.DataFrame([self.first.get()], columns=self.columns).astype(every.dtypes), every])
+            least = every.sort_values(self.order, kind="stable").iloc[0]
+            self.first.update(tuple(_plain(v) for v in least[self.columns]))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(_micros(least[self.order[0]]) // 1000 + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        row = self.first.get()
+        self.first.clear()
+        self.given.update((True,))
+        yield pd.DataFrame([row], columns=self.columns)
+
     def close(self) -> None:
         pass
 
 
+def _plain(value):
+    """A pandas value as state holds it."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if hasattr(value, "item") else value
+
+
 def cell_states(
     passes: DataFrame, lateness: str, revive_after_days: int = REVIVE_AFTER_DAYS
 ) -> DataFrame:
@@ -133,9 +216,35 @@ def cell_states(
     )
 
 
-def miss_ladders(observations: DataFrame) -> DataFrame:
-    """Miss ladder after every batch, for observations carrying `question`."""
-    return observations.groupBy("business_id", "question").transformWithStateInPandas(
-        statefulProcessor=MissLadder(), outputStructType=LADDER_OUTPUT,
-        outputMode="Update", timeMode="None",
+def miss_ladders(observations: DataFrame, lateness: str, history: DataFrame | None = None) -> DataFrame:
+    """Miss ladder after every batch, for observations carrying `question`.
+
+    Observations may arrive in any order within `lateness`; later ones are dropped. `history`, a
+    batch ladder (business_id, question, misses, last_miss_at), is where the stream goes on from.
+    Needs the RocksDB state store.
+    """
+    begun = None if history is None else history.select("business_id", "question", "misses", "last_miss_at").groupBy(
+        "business_id", "question"
+    )
+    return (
+        observations.select("business_id", "question", "fetched_at", "id", "status")
+        .withWatermark("fetched_at", lateness)
+        .groupBy("business_id", "question")
+        .transformWithStateInPandas(
+            statefulProcessor=MissLadder(), outputStructType=LADDER_OUTPUT,
+            outputMode="Update", timeMode="EventTime", initialState=begun,
+        )
+    )
+
+
+def first_rows(rows: DataFrame, at: str, lateness: str, key: list[str], tie: list[str]) -> DataFrame:
+    """The first row of every key by (`at`, `tie`), whatever the order of arrival within `lateness`.
+
+    A row comes out once the watermark has passed its time; from then on the key is known and its
+    later rows are dropped. State is one row per key, then a flag. Needs the RocksDB state store.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.withWatermark(at, lateness).groupBy(*key).transformWithStateInPandas(
+        statefulProcessor=FirstRow(rows.columns, schema, [at, *tie]), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime",
     )

@@ -13,7 +13,7 @@ from doorstep.operators.qualify import state_of
 def latest_observations(
     observations: DataFrame, key: Sequence[str], newest: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
-    """Running latest row per key; read through `changelog` and `current`."""
+    """Running latest row per key; kept by `compacted`, or logged by `changelog`."""
     place = F.struct(*newest)
     return observations.groupBy(*key).agg(
         *[F.max_by(v, place).alias(v) for v in values]
@@ -23,7 +23,10 @@ def latest_observations(
 def first_listings(
     listings: DataFrame, at: str, horizon: str, key: Sequence[str] = ("dedupe_key",)
 ) -> DataFrame:
-    """Listings without repeats of a key inside the horizon."""
+    """Listings without repeats of a key inside the horizon, as they arrive.
+
+    Which of several is kept is up to arrival; `cells.first_rows` keeps the earliest.
+    """
     return listings.withWatermark(at, horizon).dropDuplicatesWithinWatermark(list(key))
 
 

@@ -54,6 +54,81 @@ def current(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
     return latest_per_key(log, list(key), ["batch"], rest)
 
 
+#: Buckets of a current-state table.
+BUCKETS = 64
+
+
+def compacted(
+    df: DataFrame, path: str, checkpoint: str, key: Sequence[str], buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Keep the latest row of every key of an update stream, in a table of hashed buckets.
+
+    A batch reads the buckets its keys fall into, replaces those keys' rows and writes the buckets anew
+    under its own number; buckets it does not touch stay where they are. Readers see a bucket's
+    newest finished version, and the one before it stays until the next, so a batch that fails half-way
+    or runs again changes nothing. What is read follows the keys, not the batches.
+    """
+    key = list(key)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r.bucket for r in placed.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            versions = _versions(spark, path, before=number)
+            held = [versions[b][0][1] for b in touched if b in versions]
+            rows = placed
+            if held:
+                old = spark.read.option("basePath", path).parquet(*held).select(*placed.columns)
+                same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in key]
+                stays = old.alias("old").join(placed.select(*key).alias("new"), same, "left_anti")
+                rows = stays.unionByName(placed)
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number:012d}")
+            for b in touched:
+                for _, old_path in versions.get(b, [])[1:]:
+                    _delete(spark, old_path)
+        finally:
+            placed.unpersist()
+
+    return (
+        df.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+
+
+def current_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a compacted table."""
+    newest = [found[0][1] for found in _versions(spark, path).values()]
+    return spark.read.option("basePath", path).parquet(*newest).drop("batch", "bucket")
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """Finished (batch, folder) per bucket, newest first; at most two and one being replaced."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    pattern = spark._jvm.org.apache.hadoop.fs.Path
+    done = {
+        int(s.getPath().getParent().getName().split("=")[1])
+        for s in files.globStatus(pattern(f"{path}/batch=*/_SUCCESS")) or []
+    }
+    out: dict[int, list[tuple[int, str]]] = {}
+    for status in files.globStatus(pattern(f"{path}/batch=*/bucket=*")) or []:
+        folder = status.getPath()
+        batch, bucket = (int(p.getName().split("=")[1]) for p in (folder.getParent(), folder))
+        if batch in done and (before is None or batch < before):
+            out.setdefault(bucket, []).append((batch, folder.toString()))
+    return {b: sorted(v, reverse=True) for b, v in out.items()}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write final rows once; the file sink keeps its own commit log."""
     return (
