@@ -344,7 +344,7 @@ def manifest(
     trees = Trees(stored(placed, "manifest-placed"), ("doc_id", "other"))
     tops = stored(trees.tops(), "manifest-tops")
     groups = tops.count()
-    order = running_totals(tops, [], [F.col("grp")], {"upto": F.lit(1).cast("bigint")}, largest=groups)
+    order = running_totals(tops, [], [F.col("grp")], {"upto": F.lit(1).cast("bigint")})
     upper = Trees(
         order.select(
             F.lit("").alias("grp"), (F.col("upto") - 1).alias("pos"), F.lit(groups).cast("bigint").alias("size"),
