@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorstep.functions.casts import digits_only
 from doorstep.operators.ordering import (
-    HOT_ROWS,
     join_groups,
-    largest_group,
     latest_per_key,
     running_totals,
     tile,
@@ -52,43 +50,26 @@ def cohort_members(
     )
 
 
-def with_cohort_rank(
-    members: DataFrame, hot_rows: int = HOT_ROWS, largest: int | None = None
-) -> DataFrame:
+def with_cohort_rank(members: DataFrame) -> DataFrame:
     """`cohort_size` (rankable members) and `cohort_rank` (rank among them).
 
     Unrankable members sort last, so the ranks of the rankable ones are unaffected by them
     and one sort serves both columns.
     """
-    cohort = ["niche_id", "city"]
     unranked = F.col("audience_index").isNull()
     order = [unranked, F.coalesce("audience_index", F.lit(0.0)), F.col("business_id")]
     rankable = (~unranked).cast("bigint")
-    if largest is None:
-        largest = largest_group(members, cohort)
-    if largest <= hot_rows:
-        whole = Window.partitionBy(*cohort)
-        return members.select(
-            "*",
-            F.count("audience_index").over(whole).alias("cohort_size"),
-            F.row_number().over(whole.orderBy(*order)).cast("bigint").alias("cohort_rank"),
-        )
-    sizes = members.groupBy(*cohort).agg(F.count("audience_index").alias("cohort_size"))
-    ranked = running_totals(members, cohort, order, {"cohort_rank": rankable}, hot_rows, largest=largest)
-    return join_groups(ranked, sizes, cohort)
+    return running_totals(
+        members, ["niche_id", "city"], order, {"cohort_rank": rankable}, {"cohort_size": rankable}
+    )
 
 
 def cohort_bands(
     members: DataFrame,
     min_cohort: int = MIN_COHORT,
-    hot_rows: int = HOT_ROWS,
-    largest: int | None = None,
 ) -> DataFrame:
-    """Band and method per business: tiles in a large enough cohort, thresholds otherwise.
-
-    `largest` is the size of the largest cohort where it is known from the businesses alone.
-    """
-    ranked = with_cohort_rank(members, hot_rows, largest)
+    """Band and method per business: tiles in a large enough cohort, thresholds otherwise."""
+    ranked = with_cohort_rank(members)
     relative = F.col("cohort_size") >= min_cohort
     third = tile(F.col("cohort_rank"), F.col("cohort_size"), 3)
     band = (

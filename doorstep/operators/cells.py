@@ -6,18 +6,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doorstep.functions.geo import moved_lat, moved_lng
 from doorstep.operators.ordering import (
-    HOT_ROWS,
     first_n_within,
-    largest_group,
     rank_within,
     running_totals,
-    with_previous,
-    with_smallest,
 )
 
 # Yield thresholds, days until an exhausted cell is tried again, scan range.
@@ -119,7 +115,6 @@ def cell_history(
     new: str = "new_count",
     total: str = "total_count",
     revive_after_days: int | None = REVIVE_AFTER_DAYS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """State after every pass: status, next_page, new_yield, total_yield.
 
@@ -130,18 +125,18 @@ def cell_history(
     state machine becomes a matter of counting.
     """
     cell = list(cell)
-    largest = largest_group(passes, cell)
     base = passes.select(
         "*",
         F.greatest(F.col(new), F.lit(0)).alias("_new"),
         F.greatest(F.col(total), F.lit(0)).cast("bigint").alias("_total"),
         F.col(at).alias("_at"),
     )
-    order = [F.col("_at")]
-    prior = with_previous(
-        base, cell, order, {"_prev_new": "_new", "_prev_at": "_at"}, hot_rows, largest
-    )
-    zero, prev_zero = F.col("_new") == 0, F.coalesce(F.col("_prev_new") == 0, F.lit(False))
+    # A group is the passes of one cell, one for each time the planner chose it.
+    passed = Window.partitionBy(*cell).orderBy("_at")
+    through = passed.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.col("_new") == 0
+    prior = base.select("*", F.lag("_new").over(passed).alias("_prev_new"), F.lag("_at").over(passed).alias("_prev_at"))
+    prev_zero = F.coalesce(F.col("_prev_new") == 0, F.lit(False))
     if revive_after_days is None:
         late = F.lit(False)
     else:
@@ -150,29 +145,21 @@ def cell_history(
             F.lit(False),
         )
     staged = prior.select("*", (zero & prev_zero).alias("_repeat"), late.alias("_late"))
-    staged = with_previous(staged, cell, order, {"_prev_repeat": "_repeat"}, hot_rows, largest)
-    able = F.col("_late") & F.coalesce("_prev_repeat", F.lit(False))
-    counted = running_totals(
-        staged.select("*", able.alias("_able")), cell, order,
-        {
-            "_n": F.lit(1).cast("bigint"),
-            "_full": (~zero).cast("bigint"),
-            "total_yield": F.col("_total"),
-            "_chain": (~F.col("_able")).cast("bigint"),
-        },
-        hot_rows,
-        largest=largest,
+    able = F.col("_late") & F.coalesce(F.lag("_repeat").over(passed), F.lit(False))
+    counted = staged.select("*", able.alias("_able")).select(
+        "*",
+        F.count(F.lit(1)).over(through).alias("_n"),
+        F.sum((~zero).cast("bigint")).over(through).alias("_full"),
+        F.sum("_total").over(through).alias("total_yield"),
+        F.sum((~F.col("_able")).cast("bigint")).over(through).alias("_chain"),
     )
     # A chain is one pass that could not revive the cell and those right after it that could.
-    chained = with_smallest(counted, [*cell, "_chain"], "_n", "_head", largest, hot_rows)
-    revived = F.col("_able") & ((F.col("_n") - F.col("_head")) % 2 == 1)
-    flagged = chained.select("*", revived.alias("revived"))
-    final = running_totals(
-        flagged, cell, order, {"_life": F.col("revived").cast("bigint")}, hot_rows,
-        largest=largest,
-    )
+    head = F.min("_n").over(Window.partitionBy(*cell, "_chain"))
+    revived = F.col("_able") & ((F.col("_n") - head) % 2 == 1)
+    final = counted.select("*", revived.alias("revived"))
+    final = final.select("*", F.sum(F.col("revived").cast("bigint")).over(through).alias("_life"))
     before = F.col("_full") - F.when(zero, 0).otherwise(1)
-    paged = with_smallest(final, [*cell, "_life"], before, "_full_before", largest, hot_rows)
+    paged = final.select("*", F.min(before).over(Window.partitionBy(*cell, "_life")).alias("_full_before"))
     exhausted = F.col("_repeat") & ~F.col("revived")
     return paged.select(
         *passes.columns,
@@ -215,14 +202,13 @@ def selection_order(priority: Column) -> list[Column]:
 
 def select_cells(
     cells: DataFrame, group: Sequence[str], per_group: int, priority: Column,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The best cells of each (area, category), with their place in the whole queue."""
     order = selection_order(priority)
     chosen = first_n_within(
         cells.where(F.col("status") != "exhausted"), group, order, per_group, "group_rank"
     )
-    return rank_within(chosen, [], order, "queue_rank", hot_rows=hot_rows)
+    return rank_within(chosen, [], order, "queue_rank")
 
 
 def quota(limit: int, niches: int) -> int:
@@ -246,11 +232,10 @@ def within_quota(
 
 def within_scan_cap(
     cells: DataFrame, niche: str, order: Sequence[Column], candidates: str, cap: int,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Cells that are still read: candidates seen before them stay under the cap."""
     counted = running_totals(
-        cells, [niche], order, {"_through": F.col(candidates).cast("bigint")}, hot_rows
+        cells, [niche], order, {"_through": F.col(candidates).cast("bigint")}
     )
     before = F.col("_through") - F.col(candidates)
     return counted.where(before < cap).select(*cells.columns, before.alias("candidates_before"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorstep.operators.ordering import HOT_ROWS, latest_per_key, rank_within
+from doorstep.operators.ordering import latest_per_key, rank_within
 
 
 def remaining(budget: DataFrame, keys: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -85,13 +85,10 @@ def unpaid_prompts(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     return prompts.join(answers.select("prompt_hash"), "prompt_hash", "left_anti")
 
 
-def numbered_events(
-    events: DataFrame, run: str, order: Sequence, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def numbered_events(events: DataFrame, run: str, order: Sequence) -> DataFrame:
     """Adds the 1-based `seq` of every event within its run."""
     return rank_within(
         events, [run], [F.col(c) if isinstance(c, str) else c for c in order], "seq",
-        hot_rows=hot_rows,
     )
 
 

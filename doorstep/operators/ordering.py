@@ -1,8 +1,8 @@
 """Latest rows, ranks and running totals that hold up when one group has most of the rows.
 
-A window puts a whole group into one task. That is the best plan while groups are small, so
-group sizes are measured first. Past `hot_rows` all rows are cut into ranges along group and
-order: every range is ranked by itself and ranges are joined up by their totals.
+A window puts a whole group into one task, and a window over all rows puts the table there. So
+rows are cut into pieces along group and order: every piece is ranked by itself, and pieces
+are joined up by their totals.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doorstep.session import cut_lineage
-
-HOT_ROWS = 5_000_000
+from doorstep.session import written
 
 
 def latest_per_key(
@@ -63,12 +61,62 @@ def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str =
     return left.join(renamed, same, how).drop(*[f"_g_{c}" for c in by])
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the largest group; one number reaches the driver."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else df.agg(
-        F.count(F.lit(1)).alias("n")
+def upto(value: Column, sorted_values: Column) -> Column:
+    """How many entries of a sorted array are not above the value, by halving steps."""
+    steps = F.filter(F.array(*[F.lit(1 << s) for s in range(30, -1, -1)]), lambda s: s <= F.size(sorted_values))
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda at, s: F.when(
+            (at + s <= F.size(sorted_values)) & (F.get(sorted_values, at + s - 1) <= value), at + s
+        ).otherwise(at),
     )
-    return counts.agg(F.max("n")).first()[0] or 0
+
+
+class _Pieces:
+    """Rows written once and cut into pieces along group and order.
+
+    Splitters are quantiles of a sample that merges from task to task: of all rows whose key hashes
+    into one of SAMPLES slots per piece, the one with the smallest second hash. The piece of a row
+    follows from its key and the splitters alone, so a lost task cuts its rows as before. A piece is
+    about one in `spark.sql.shuffle.partitions` of all rows, however they fall into groups; a
+    piece that ends within a group is joined up with the next by its totals.
+    """
+
+    SAMPLES = 16
+
+    def __init__(
+        self, df: DataFrame, by: Sequence[str], order: Sequence[Column], extra: Mapping[str, Column],
+    ):
+        self.columns = df.columns
+        self.names = [f"_rt_o{i}" for i in range(len(order))]
+        self.group = list(by) or ["_rt_all"]
+        self.within = [*self.group, "_rt_piece"]
+        keyed = df.select(
+            "*", *([] if by else [F.lit(0).alias("_rt_all")]),
+            *[e.alias(n) for n, e in zip(self.names, order)], *[e.alias(n) for n, e in extra.items()],
+        )
+        rows = written(keyed, "ordered")
+        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        key = [*self.group, *self.names]
+        slot = F.pmod(F.xxhash64(*key), F.lit(count * self.SAMPLES))
+        sample = rows.groupBy(slot.alias("slot")).agg(
+            F.min(F.struct(F.xxhash64(F.lit(1), *key).alias("h"), F.struct(*key).alias("key"))).alias("least")
+        ).agg(F.sort_array(F.collect_list("least.key")).alias("keys"))
+        splitters = sample.select(F.filter(
+            F.transform(F.sequence(F.lit(1), F.lit(max(count - 1, 1))), lambda i: F.get("keys", (i * F.size("keys") / count).cast("int"))),
+            lambda k: k.isNotNull(),
+        ).alias("splitters"))
+        cut = rows.withColumn("_rt_splitters", splitters.scalar())
+        self.rows = cut.withColumn("_rt_piece", upto(F.struct(*key), F.col("_rt_splitters"))).drop("_rt_splitters")
+
+    def by_piece(self, *aggregates: Column) -> DataFrame:
+        return self.rows.groupBy(*self.within).agg(*aggregates)
+
+    def inside(self) -> Window:
+        return Window.partitionBy(*self.within).orderBy(*self.names)
+
+    def across(self) -> Window:
+        return Window.partitionBy(*self.group).orderBy("_rt_piece")
 
 
 def running_totals(
@@ -76,114 +124,54 @@ def running_totals(
     by: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
-    hot_rows: int = HOT_ROWS,
-    largest: int | None = None,
+    whole: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """`df` plus inclusive running sums of `totals` along `order` within each group.
 
-    `order` lists ascending expressions that leave no ties. Negate numbers for descending.
-    `largest` is the size of the largest group where the caller knows it from a cheaper table.
+    `order` lists ascending expressions that leave no ties. Negate numbers for descending. `whole`
+    adds sums over the whole group. Every piece of the rows is summed up by itself, and pieces of a
+    group are joined up by their totals: one plan, whatever the sizes of rows and groups.
     """
-    by = list(by)
-    if largest is None:
-        largest = largest_group(df, by)
-    if largest <= hot_rows:
-        window = (
-            Window.partitionBy(*by)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.select("*", *[F.sum(e).over(window).alias(n) for n, e in totals.items()])
-
-    columns = df.columns
-    names = [f"_rt_o{i}" for i in range(len(order))]
-    group = by or ["_rt_all"]
-    keyed = df.select(
-        "*",
-        *([] if by else [F.lit(0).alias("_rt_all")]),
-        *[expr.alias(name) for name, expr in zip(names, order)],
-        *[expr.alias(f"_rt_t_{name}") for name, expr in totals.items()],
-    )
-    # Ranges are cut by row counts, so a hot group spans many of them. The range number is
-    # stored with the rows: whatever is computed again later sees the same pieces.
-    spark = df.sparkSession
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * largest // hot_rows)
-    ranged = keyed.repartitionByRange(count, *group, *names)
-    placed = cut_lineage(ranged.withColumn("_rt_piece", F.spark_partition_id()))
-
-    per_piece = placed.groupBy(*group, "_rt_piece").agg(
-        *[F.sum(f"_rt_t_{name}").alias(f"_rt_p_{name}") for name in totals]
-    )
-    before = (
-        Window.partitionBy(*group)
-        .orderBy("_rt_piece")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = per_piece.select(
-        *group, "_rt_piece",
-        *[F.sum(f"_rt_p_{name}").over(before).alias(f"_rt_p_{name}") for name in totals],
-    )
-    inside = (
-        Window.partitionBy(*group, "_rt_piece")
-        .orderBy(*names)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = whole or {}
+    every = {**totals, **whole}
+    pieces = _Pieces(df, by, order, {f"_rt_t_{n}": e for n, e in every.items()})
+    sums = pieces.by_piece(*[F.sum(f"_rt_t_{n}").alias(f"_rt_p_{n}") for n in every])
+    before = pieces.across().rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *pieces.within,
+        *[F.coalesce(F.sum(f"_rt_p_{n}").over(before), F.lit(0)).alias(f"_rt_p_{n}") for n in totals],
+        *[F.sum(f"_rt_p_{n}").over(Window.partitionBy(*pieces.group)).alias(f"_rt_p_{n}") for n in whole],
     )
-    local = placed.select(
-        "*", *[F.sum(f"_rt_t_{name}").over(inside).alias(f"_rt_l_{name}") for name in totals]
-    )
-    return join_groups(local, offsets, [*group, "_rt_piece"]).select(
-        *columns,
-        *[(F.col(f"_rt_l_{n}") + F.coalesce(f"_rt_p_{n}", F.lit(0))).alias(n) for n in totals],
+    through = pieces.inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = pieces.rows.select("*", *[F.sum(f"_rt_t_{n}").over(through).alias(f"_rt_l_{n}") for n in totals])
+    return join_groups(local, offsets, pieces.within).select(
+        *pieces.columns,
+        *[(F.col(f"_rt_l_{n}") + F.col(f"_rt_p_{n}")).alias(n) for n in totals],
+        *[F.col(f"_rt_p_{n}").alias(n) for n in whole],
     )
 
 
 def rank_within(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    name: str = "rank",
-    **kwargs: int | None,
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank"
 ) -> DataFrame:
     """`df` plus a 1-based row number along `order` within each group."""
-    return running_totals(df, by, order, {name: F.lit(1).cast("bigint")}, **kwargs)
-
-
-def with_smallest(
-    df: DataFrame, by: Sequence[str], value: str | Column, name: str, largest: int,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """`df` plus the smallest `value` of each group, by window or by aggregate and join."""
-    if largest <= hot_rows:
-        return df.withColumn(name, F.min(value).over(Window.partitionBy(*by)))
-    return join_groups(df, df.groupBy(*by).agg(F.min(value).alias(name)), by)
+    return running_totals(df, by, order, {name: F.lit(1).cast("bigint")})
 
 
 def with_previous(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    previous: Mapping[str, str],
-    hot_rows: int = HOT_ROWS,
-    largest: int | None = None,
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], previous: Mapping[str, str]
 ) -> DataFrame:
     """`df` plus columns of the row before it in its group; `previous` maps new to source."""
-    if largest is None:
-        largest = largest_group(df, by)
-    if largest <= hot_rows:
-        window = Window.partitionBy(*by).orderBy(*order)
-        return df.select("*", *[F.lag(s).over(window).alias(n) for n, s in previous.items()])
-    ranked = cut_lineage(
-        rank_within(df, by, order, "_wp_rank", hot_rows=hot_rows, largest=largest)
-    )
-    earlier = ranked.select(
-        *[F.col(c).alias(f"_wp_b_{c}") for c in by],
-        (F.col("_wp_rank") + 1).alias("_wp_b_rank"),
-        *[F.col(s).alias(n) for n, s in previous.items()],
+    pieces = _Pieces(df, by, order, {})
+    row = F.struct(*[F.col(s).alias(n) for n, s in previous.items()])
+    lasts = pieces.by_piece(F.max_by(row, F.struct(*pieces.names)).alias("_rt_last"))
+    ahead = lasts.select(*pieces.within, F.lag("_rt_last").over(pieces.across()).alias("_rt_ahead"))
+    local = pieces.rows.select("*", F.lag(row).over(pieces.inside()).alias("_rt_before"))
+    # Only a piece's first row has none before it inside.
+    before = F.coalesce("_rt_before", "_rt_ahead")
+    return join_groups(local, ahead, pieces.within).select(
+        *pieces.columns, *[before[n].alias(n) for n in previous]
     )
-    match = F.col("_wp_rank") == F.col("_wp_b_rank")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_wp_b_{c}"))
-    return ranked.join(earlier, match, "left").select(*df.columns, *previous)
 
 
 def first_n_within(

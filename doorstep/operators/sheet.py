@@ -11,7 +11,6 @@ from doorstep.functions.casts import as_flag, as_float, as_int, as_list, joined,
 from doorstep.functions.pages import profile_link
 from doorstep.functions.text import folded, present, trimmed
 from doorstep.operators.ordering import (
-    HOT_ROWS,
     latest_per_key,
     latest_per_source,
     rank_within,
@@ -244,24 +243,15 @@ def sheet_order(tie: str) -> list[Column]:
     ]
 
 
-def ordered_sheet(
-    records: DataFrame,
-    tie: str = "business_id",
-    hot_rows: int = HOT_ROWS,
-    rows: int | None = None,
-) -> DataFrame:
-    """Adds `sheet_row`, the row's place in the whole sheet; `rows` is its length if known."""
-    return rank_within(
-        records, [], sheet_order(tie), "sheet_row", hot_rows=hot_rows, largest=rows
-    )
+def ordered_sheet(records: DataFrame, tie: str = "business_id") -> DataFrame:
+    """Adds `sheet_row`, the row's place in the whole sheet."""
+    return rank_within(records, [], sheet_order(tie), "sheet_row")
 
 
-def ranked_leads(
-    scored: DataFrame, by: Sequence[str], tie: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def ranked_leads(scored: DataFrame, by: Sequence[str], tie: str) -> DataFrame:
     """Adds `lead_rank`: total, reachability, website gap, demand, all descending."""
     order = [-F.col(c) for c in ("total", "reachability", "website_gap", "demand")]
-    return rank_within(scored, by, [*order, F.col(tie)], "lead_rank", hot_rows=hot_rows)
+    return rank_within(scored, by, [*order, F.col(tie)], "lead_rank")
 
 
 def clamp(value: int, low: int, high: int) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doorstep.operators.ordering import HOT_ROWS, with_previous
+from doorstep.operators.ordering import with_previous
 
 BAND_ORDER = ("small", "medium", "large")
 
@@ -24,14 +24,14 @@ def coverage(records: DataFrame, by: Sequence[str], asof: Column) -> DataFrame:
     )
 
 
-def growth(series: DataFrame, key: str, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def growth(series: DataFrame, key: str, value: str) -> DataFrame:
     """Change of a known value against the observation before it, per business.
 
     Observations whose value does not parse are no point of the series.
     """
     points = series.where(F.col(value).isNotNull())
     order = [F.col("fetched_at"), F.col("id")]
-    return with_previous(points, [key], order, {"previous": value}, hot_rows).withColumn(
+    return with_previous(points, [key], order, {"previous": value}).withColumn(
         "change", F.col(value) - F.col("previous")
     )
 

@@ -5,7 +5,7 @@ import pytest
 from doorstep.operators import bands
 
 
-def band_rows(spark, reviews, scored=None, hot_rows=bands.HOT_ROWS):
+def band_rows(spark, reviews, scored=None):
     """One cohort: reviews per business, and which of them are scored (default all)."""
     rows = []
     for i, r in enumerate(reviews):
@@ -17,7 +17,7 @@ def band_rows(spark, reviews, scored=None, hot_rows=bands.HOT_ROWS):
         "business_id int, name string, niche_id string, city string, search_area string, "
         "audience_index double, scorer_version string, total int, scored_at timestamp, reviews int",
     )
-    out = bands.cohort_bands(members, hot_rows=hot_rows).orderBy("business_id").collect()
+    out = bands.cohort_bands(members).orderBy("business_id").collect()
     return [(r.audience_band, r.banding_method, r.cohort_size) for r in out]
 
 
@@ -32,16 +32,14 @@ def test_method_changes_at_thirty(spark, size, method):
     assert {g[1] for g in band_rows(spark, [200] * size)} == {method}
 
 
-@pytest.mark.parametrize("hot_rows", [bands.HOT_ROWS, 5])
-def test_forty_split_in_near_equal_tiles(spark, hot_rows):
-    got = [g[0] for g in band_rows(spark, [200] * 40, hot_rows=hot_rows)]
+def test_forty_split_in_near_equal_tiles(spark):
+    got = [g[0] for g in band_rows(spark, [200] * 40)]
     assert got == ["small"] * 14 + ["medium"] * 13 + ["large"] * 13
 
 
-@pytest.mark.parametrize("hot_rows", [bands.HOT_ROWS, 5])
-def test_unscored_take_no_tile(spark, hot_rows):
+def test_unscored_take_no_tile(spark):
     scored = [i % 9 != 0 for i in range(45)]
-    got = band_rows(spark, [200] * 45, scored, hot_rows)
+    got = band_rows(spark, [200] * 45, scored)
     assert {g[2] for g in got} == {40}
     names = [g[0] for g in got]
     assert [names.count(n) for n in ("small", "medium", "large", "unknown")] == [14, 13, 13, 5]

@@ -26,28 +26,51 @@ def test_running_totals_equal_the_window(skewed, by):
     window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.select(
         "*", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long").alias("rank"),
-        F.sum("w").over(window).alias("through"),
+        F.sum("w").over(window).alias("through"), F.sum("w").over(Window.partitionBy(*by)).alias("all"),
     )
     totals = {"rank": F.lit(1).cast("long"), "through": F.col("w")}
-    hot = ordering.running_totals(skewed, by, order, totals, hot_rows=100)
-    assert sorted(map(str, hot.collect())) == sorted(map(str, want.collect()))
-    cold = ordering.running_totals(skewed, by, order, totals)
-    assert sorted(map(str, cold.collect())) == sorted(map(str, want.collect()))
+    got = ordering.running_totals(skewed, by, order, totals, {"all": F.col("w")})
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_hot_group_is_cut_into_pieces(spark, skewed):
-    hot = ordering.running_totals(
-        skewed, ["g"], [F.col("v"), F.col("id")], {"rank": F.lit(1)}, hot_rows=100
+def test_a_group_with_nearly_all_rows_is_many_pieces(spark):
+    spread = spark.range(20_000).select(
+        F.when(F.col("id") % 100 == 0, F.col("id")).alias("g"), F.xxhash64("id").alias("v"), "id"
     )
-    assert hot.count() == skewed.count()
-    assert skewed.sparkSession.sparkContext.getCheckpointDir()
+    order = [F.col("v"), F.col("id")]
+    pieces = ordering._Pieces(spread, ["g"], order, {}).rows.groupBy("_rt_piece").count().collect()
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(pieces) == count and max(r["count"] for r in pieces) < 2.5 * 20_000 / count
+    want = spread.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long"))
+    got = ordering.rank_within(spread, ["g"], order)
+    assert got.exceptAll(want).isEmpty() and got.count() == 20_000
+
+
+def test_order_of_texts_nulls_and_empty_tables(spark):
+    texts = [None, "", "a", "B", "ä", "z" * 300, "\U0001f600", "aa", "A"]
+    df = spark.createDataFrame([(t, n) for n, t in enumerate(texts * 30)], "t string, n int")
+    order = [F.col("t"), -F.col("n")]
+    want = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    assert ordering.rank_within(df, [], order).exceptAll(want).isEmpty()
+    assert ordering.rank_within(df.limit(0), [], order).count() == 0
+    assert ordering.with_previous(df.limit(0), ["t"], [F.col("n")], {"p": "n"}).count() == 0
+    assert ordering.rank_within(df.limit(1), ["t"], order).first()["rank"] == 1
 
 
-def test_previous_row_in_both_paths(skewed):
+@pytest.mark.parametrize("by", [["g"], []])
+def test_previous_row(skewed, by):
     order = [F.col("v"), F.col("id")]
-    cold = ordering.with_previous(skewed, ["g"], order, {"before": "id"})
-    hot = ordering.with_previous(skewed, ["g"], order, {"before": "id"}, hot_rows=100)
-    assert sorted(map(str, hot.collect())) == sorted(map(str, cold.collect()))
+    window = Window.partitionBy(*by).orderBy(*order)
+    want = skewed.select("*", F.lag("id").over(window).alias("before"), F.lag("g").over(window).alias("group_before"))
+    got = ordering.with_previous(skewed, by, order, {"before": "id", "group_before": "g"})
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_no_window_runs_over_all_rows(skewed):
+    plan = ordering.rank_within(skewed, [], [F.col("v"), F.col("id")])._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "_rt_o0" in line]
+    assert windows and all("_rt_piece" in line for line in windows)
 
 
 def test_tiles_equal_ntile(spark):

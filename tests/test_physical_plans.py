@@ -3,6 +3,8 @@
 import pytest
 
 from doorstep.checks import load_all
+from doorstep.operators import ordering
+from doorstep.session import written
 
 FOLDER = "/root/testdata/sf0.001"
 CHECKS = load_all()
@@ -42,11 +44,24 @@ def test_row_work_is_not_shuffled(spark, name):
     assert "ENSURE_REQUIREMENTS" not in plan
 
 
-@pytest.mark.parametrize("name", ["selected_cells", "kept_within_quota", "memory_recall"])
+@pytest.mark.parametrize("name", ["kept_within_quota", "memory_recall"])
 def test_top_n_is_trimmed_before_the_shuffle(spark, name):
     assert plan_of(spark, name).count("WindowGroupLimit") >= 2
 
 
+def test_chosen_cells_are_trimmed_before_they_are_ranked(spark, monkeypatch):
+    """Ranks over the whole queue are of rows written before; what is written is trimmed first."""
+    plans = []
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(ordering, "written", kept)
+    plan_of(spark, "selected_cells")
+    assert plans[0].count("WindowGroupLimit") >= 2
+
+
 def test_latest_rows_read_few_columns_and_fold_before_the_shuffle(spark):
     plan = plan_of(spark, "latest_score")
     assert "Window" not in plan and "partial_max_by" in plan

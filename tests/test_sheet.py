@@ -19,15 +19,14 @@ def test_layout():
     assert len(TABLES) == 21
 
 
-@pytest.mark.parametrize("hot_rows", [sheet.HOT_ROWS, 2])
-def test_order(spark, hot_rows):
+def test_order(spark):
     rows = [
         (1, "indiranagar", 10, "b"), (2, "Indiranagar", 40, "a"), (3, None, 99, "c"), (4, " ", 1, "d"),
         (5, "Adyar", None, "e"), (6, "Adyar", 0, "f"), (7, "Indiranagar", 10, "A"), (8, "straße", 1, "x"),
         (9, "STRASSE", 2, "y"),
     ]
     df = spark.createDataFrame(rows, "business_id int, search_area string, total_score int, business_name string")
-    got = sheet.ordered_sheet(df, hot_rows=hot_rows).orderBy("sheet_row").collect()
+    got = sheet.ordered_sheet(df).orderBy("sheet_row").collect()
     assert [r.business_id for r in got] == [6, 5, 2, 7, 1, 9, 8, 3, 4]
     assert [r.sheet_row for r in got] == list(range(1, 10))
 
