@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doorstep.llm import bpe, chat, components, fixity, hnsw, jaccard, lines, maxent, mixing, rules, toxicity, words
 from doorstep.llm.queries import vocabulary_path
-from doorstep.llm.store import ready
+from doorstep.llm.store import ready, stored, table
 from tests.llm.test_queries import plain_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, row string, copy int, failed string"
@@ -156,6 +156,21 @@ def test_rules(docs):
     assert rules.ablations(rules.ledger(docs.limit(0))).count() == 0
 
 
+def test_ablations_against_plain_counts(spark):
+    rows = stored(rules.ledger(table(spark, "/root/testdata/sf0.01", "documents")).select("failed"), "test-ledger")
+    bits = [r.failed for r in rows.collect()]
+    got = {(r.version, r.rule): (r.failing, r.only_this, r.kept, r.kept_without) for r in rules.ablations(rows).collect()}
+    want = {}
+    for p in rules.POLICIES:
+        for r in (r for r in rules.RULES if p.mask >> r.bit & 1):
+            one = 1 << r.bit
+            want[p.version, r.name] = (
+                sum(b & one != 0 for b in bits), sum(b & p.mask == one for b in bits),
+                sum(b & p.mask == 0 for b in bits), sum(b & p.mask & ~one == 0 for b in bits),
+            )
+    assert got == want and any(v[1] for v in want.values())
+
+
 def test_repeated_words(spark):
     texts = ["a b c a b c", "a a a a", "a b c d", "a b", "", "x a b c y a b c z"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
