@@ -1,18 +1,23 @@
 """Language model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-1. Words of all training texts are counted (one aggregate). The `words` most frequent are known
-   to every task by that bound; what is rarer is met by a join on word hashes.
+1. Words of all training texts are counted (one aggregate). The most frequent, at most `words`,
+   are known to every task: a histogram of the counts gives the least count that keeps the bound.
+   Rarer words are met by a join on the cell of their hash.
 2. The most frequent words have a class and a place in it by rank; rarer ones fall into bands by
-   rank, whose inside is the counts' own distribution. p(word) = p(class | context) *
-   p(word | class, context). Contexts give hashed features: the word before, the two before,
-   and the one before that alone (a skip).
+   rank. In a band a word's hash digits choose class after class, as many levels as leave about
+   eight to some hundred words in a cell, so the classes grow with the vocabulary. Inside a cell
+   the counts' own distribution holds. p(word) is the product of the softmaxes on the way.
+   Contexts give hashed features of the words' own hashes: the word before, the two before, and
+   the one before that alone (a skip); in bands the word before. Rows of the weight tables follow
+   the number of distinct words, between `buckets` and `most_buckets`.
 3. Weights start at zero over the counts' distribution. Training texts are split into rounds by
    a hash of doc_id. In a round every task takes gradient steps on its texts from the same
-   weights; the steps' sums, weighted by tokens, are added up by blocks and averaged. Every
-   training text is used once; nothing is sampled.
+   weights; each row's steps are averaged by how often the tasks met it, so that a context that
+   few tasks meet is not thinned out by the others. Every training text is used once.
 4. Scoring looks weights up for batches of tokens in numpy. Rare words' counts are joined in.
 
-Words' identity is a 64-bit hash. Null texts are empty and have the end token only.
+Words' identity is a 64-bit hash. Null texts are empty and have the end token only. Words of
+equal count at the bound are all beyond it.
 """
 
 from __future__ import annotations
@@ -35,11 +40,13 @@ LN10 = float(np.log(10))
 
 @dataclass(frozen=True)
 class Shape:
-    words: int = 1 << 18  # words with counts in every task
+    words: int = 1 << 18  # most words with counts in every task
     classes: int = 32
-    per_class: int = 32
+    per_class: int = 32  # a power of two
     bands: tuple[int, ...] = (8192, 65536)  # ranks where bands of rarer words end
-    buckets: int = 4096  # rows of each weight table
+    cell: int = 8  # words that a band's cell holds at least, on average
+    buckets: int = 1 << 12  # rows of each weight table, at least
+    most_buckets: int = 1 << 15  # and at most: every task holds the tables
     rounds: int = 3
     rate: float = 0.3
     batch: int = 1 << 14
@@ -53,6 +60,21 @@ class Shape:
         """Classes and bands: between the edges, up to `words`, and beyond."""
         return self.classes + len(self.bands) + 2
 
+    @property
+    def bits(self) -> int:
+        return self.per_class.bit_length() - 1
+
+    def depth(self, members: int) -> int:
+        """Levels of classes below a band of so many words."""
+        depth = 0
+        while self.cell * self.per_class ** (depth + 1) <= members:
+            depth += 1
+        return depth
+
+    def rows(self, distinct: int) -> int:
+        """Rows of each weight table: a sixteenth of the distinct words, as a power of two."""
+        return min(max(1 << (max(distinct, 1) // 16).bit_length(), self.buckets), self.most_buckets)
+
 
 @dataclass(frozen=True)
 class Counts:
@@ -61,14 +83,21 @@ class Counts:
     shape: Shape
     tokens: int
     distinct: int
+    least: int  # known words have this count or more
     hashes: np.ndarray = field(repr=False)  # sorted
     ranks: np.ndarray = field(repr=False)  # of `hashes`
     seen: np.ndarray = field(repr=False)  # count by rank
     group: np.ndarray = field(repr=False)  # by rank, one more entry for the rest
     group_log: np.ndarray = field(repr=False)  # log share of each group
     place_log: np.ndarray = field(repr=False)  # classes x places, log share inside the class
-    inside_log: np.ndarray = field(repr=False)  # by rank, log share inside a band
-    rest_size: float = 1.0  # what a rare word's count plus one half is divided by
+    depth: np.ndarray = field(repr=False)  # levels of hash digits by group
+    prior: np.ndarray = field(repr=False)  # log shares of a band's digits, row by row
+    prior_at: np.ndarray = field(repr=False)  # first row by group and level; -1: even shares
+    inside_log: np.ndarray = field(repr=False)  # by rank, log share inside a cell
+
+    @property
+    def buckets(self) -> int:
+        return self.shape.rows(self.distinct)
 
 
 def _packed(counts: Counts) -> dict:
@@ -100,31 +129,58 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def known_counts(counts: DataFrame, shape: Shape = Shape()) -> Counts:
-    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    rows = counts.orderBy(F.desc("n"), "word").limit(shape.words).toPandas()
+    steps = counts.groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.min("n").alias("least")
+    )
+    steps = sorted(steps.collect(), key=lambda r: -r.step)  # at most 64 steps a doubling
+    tokens, distinct = sum(r.n for r in steps), sum(r.v for r in steps)
+    least, held = (steps[0].least + 1 if steps else 1), 0
+    for r in steps:
+        held += r.v
+        if held > shape.words:
+            break
+        least = r.least
+    rows = counts.where(F.col("n") >= least).toPandas()
+    rows = rows.sort_values(["n", "word"], ascending=[False, True])
     words = rows["word"].to_numpy(np.int64).view(np.uint64)
     seen = rows["n"].to_numpy(np.float64)
-    k, m = len(words), shape.modelled
-    edges = [e for e in (m, *shape.bands, shape.words)]
+    k, m, base = len(words), shape.modelled, shape.per_class
+    edges = [e for e in (m, *shape.bands)]
     group = np.empty(k + 1, np.int32)
     rank = np.arange(k)
-    group[:k] = np.where(rank < m, rank // shape.per_class, shape.classes + np.searchsorted(edges, rank, side="right") - 1)
+    group[:k] = np.where(rank < m, rank // base, shape.classes + np.searchsorted(edges, rank, side="right") - 1)
     group[k] = shape.groups - 1
-    rest, rest_words = float(total["n"] or 0) - seen.sum(), int(total["v"]) - k
     size = np.bincount(group[:k], seen, minlength=shape.groups)
-    size[-1] = rest
+    size[-1] = tokens - seen.sum()
     share = size + 0.5
     places = np.full(m, 1e-3)
     places[: min(k, m)] = seen[:m] + 0.5
-    places = places.reshape(shape.classes, shape.per_class)
-    members = np.bincount(group[:k], minlength=shape.groups)
-    inside = np.log(seen + 0.5) - np.log(size + 0.5 * np.maximum(members, 1))[group[:k]]
+    places = places.reshape(shape.classes, base)
+    depth = np.zeros(shape.groups, np.int32)
+    inside = np.zeros(k)
+    prior, prior_at = [], {}
+    for g in range(shape.classes, shape.groups - 1):
+        at = np.flatnonzero(group[:k] == g)
+        depth[g] = shape.depth(len(at))
+        for level in range(depth[g]):
+            tail = words[at] & np.uint64(base ** (level + 1) - 1)
+            total = np.bincount(tail.astype(np.int64), seen[at] + 0.5, minlength=base ** (level + 1)) + 1e-3
+            total = total.reshape(base, -1).T  # by the digits before it, then by this digit
+            prior_at[g, level] = sum(map(len, prior))
+            prior.append(np.log(total / total.sum(1, keepdims=True)))
+        cell = (words[at] & np.uint64(base ** int(depth[g]) - 1)).astype(np.int64)
+        total = np.bincount(cell, seen[at] + 0.5)
+        inside[at] = np.log((seen[at] + 0.5) / total[cell])
+    depth[-1] = shape.depth(distinct - k)
+    starts = np.full((shape.groups, max(int(depth.max()), 1)), -1, np.int64)
+    for (g, level), at in prior_at.items():
+        starts[g, level] = at
     order = np.argsort(words)
     return Counts(
-        shape, int(total["n"] or 0), int(total["v"]), words[order], rank[order].astype(np.int32), seen, group,
+        shape, tokens, distinct, least, words[order], rank[order].astype(np.int32), seen, group,
         np.log(share / share.sum()).astype(np.float32),
-        np.log(places / places.sum(1, keepdims=True)).astype(np.float32), inside,
-        rest + 0.5 * (rest_words + 1),
+        np.log(places / places.sum(1, keepdims=True)).astype(np.float32),
+        depth, np.concatenate([*prior, np.zeros((1, base))]).astype(np.float32), starts, inside,
     )
 
 
@@ -143,17 +199,15 @@ def token_ranks(column: pa.Array, counts: Counts):
     return ranks, hashes, edge
 
 
-def features(ranks: np.ndarray, edge: np.ndarray, counts: Counts) -> np.ndarray:
+def features(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """Context hashes of every token, one row per feature."""
-    m = counts.shape.modelled
-    symbol = np.where(ranks < m, ranks, m + counts.group[ranks]).astype(np.uint64)
-    first = np.zeros(len(ranks), bool)
+    first = np.zeros(len(hashes), bool)
     first[edge[:-1]] = True
     start = np.uint64(1 << 40)
-    one = np.empty_like(symbol)
-    one[0:1], one[1:] = start, symbol[:-1]
+    one = np.empty_like(hashes)
+    one[0:1], one[1:] = start, hashes[:-1]
     one[first] = start
-    two = np.empty_like(symbol)
+    two = np.empty_like(hashes)
     two[0:1], two[1:] = start, one[:-1]
     two[first] = start
     return np.stack([mix(one), mix(mix(one) ^ two), mix(two ^ np.uint64(1 << 50))])
@@ -170,46 +224,61 @@ def _softmax(z: np.ndarray, hit: np.ndarray):
 
 
 class Weights:
-    """The two weight tables: features by group, features and class by place."""
-
-    def __init__(self, shape: Shape, flat: np.ndarray | None = None):
-        self.shape = shape
-        width = shape.groups + shape.per_class
-        self.flat = np.zeros((shape.buckets, width), np.float32) if flat is None else flat
-
-    @property
-    def group(self):
-        return self.flat[:, : self.shape.groups]
-
-    @property
-    def place(self):
-        return self.flat[:, self.shape.groups :]
-
-    def forward(self, counts: Counts, ranks, context):
-        shape, size = self.shape, np.uint64(self.shape.buckets)
-        rows = (context % size).astype(np.int64)
+    """The two weight tables: features by group, features and node by place or digit."""
+
+    def __init__(self, counts: Counts, flat: np.ndarray | None = None):
+        self.shape, self.buckets = counts.shape, counts.buckets
+        width = self.shape.groups + self.shape.per_class
+        self.flat = np.zeros((self.buckets, width), np.float32) if flat is None else flat
+        self.group, self.place = np.split(self.flat, [self.shape.groups], axis=1)
+
+    def _sums(self, table, start, rows):
+        for one in rows:
+            start = start + table[one]
+        return start
+
+    def forward(self, counts: Counts, hashes, ranks, context):
+        """Log probabilities, and (is it the group table, rows, hits, probabilities) by softmax."""
+        shape, size = self.shape, np.uint64(self.buckets - 1)
+        rows = (context & size).astype(np.int64)
         group = counts.group[ranks]
-        z = counts.group_log + self.group[rows[0]] + self.group[rows[1]] + self.group[rows[2]]
-        logs, p = _softmax(z, group)
+        logs, p = _softmax(self._sums(self.group, counts.group_log, rows), group)
         logs = logs.astype(np.float64)
-        inner = np.flatnonzero(ranks < shape.modelled)
-        where = (mix(context[:, inner] ^ group[inner].astype(np.uint64)) % size).astype(np.int64)
-        z = counts.place_log[group[inner]] + self.place[where[0]] + self.place[where[1]] + self.place[where[2]]
-        logs_in, p_in = _softmax(z, ranks[inner] % shape.per_class)
-        logs[inner] += logs_in
-        band = np.flatnonzero((ranks >= shape.modelled) & (ranks < len(counts.seen)))
-        logs[band] += counts.inside_log[ranks[band]]
-        return logs, (rows, group, p, where, inner, p_in)
-
-
-def _add_rows(table, rows, values, speed, rate):
-    """One adaptive step: rows of `values` summed by table row."""
+        met = [(True, rows, group, p)]
+        inner = np.flatnonzero(group < shape.classes)
+        if len(inner):
+            rows = (mix(context[:, inner] ^ group[inner].astype(np.uint64)) & size).astype(np.int64)
+            hit = ranks[inner] % shape.per_class
+            more, p = _softmax(self._sums(self.place, counts.place_log[group[inner]], rows), hit)
+            logs[inner] += more
+            met.append((False, rows, hit, p))
+        depth = counts.depth[group]
+        for level in range(int(depth.max(initial=0))):
+            at = np.flatnonzero(depth > level)
+            g, word, shift = group[at], hashes[at], np.uint64(shape.bits * level)
+            before = word & ((np.uint64(1) << shift) - np.uint64(1))
+            hit = ((word >> shift) & np.uint64(shape.per_class - 1)).astype(np.int64)
+            node = mix((before << np.uint64(8)) ^ g.astype(np.uint64) ^ np.uint64((level + 1) << 58))
+            rows = (mix(context[:1, at] ^ node) & size).astype(np.int64)
+            first = counts.prior_at[g, level]
+            prior = counts.prior[np.where(first < 0, -1, first + np.where(first < 0, 0, before.astype(np.int64)))]
+            more, p = _softmax(self._sums(self.place, prior, rows), hit)
+            logs[at] += more
+            met.append((False, rows, hit, p))
+        known = np.flatnonzero((ranks >= shape.modelled) & (ranks < len(counts.seen)))
+        logs[known] += counts.inside_log[ranks[known]]
+        return logs, met
+
+
+def _add_rows(table, rows, values, speed, met, rate):
+    """One adaptive step: rows of `values` summed by table row; `met` counts them."""
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     total = np.add.reduceat(values[order], first, axis=0)
     target = sorted_rows[first]
     speed[target] += (total**2).mean(1)
+    met[target] += np.diff(np.append(first, len(rows)))
     table[target] += rate * total / np.sqrt(speed[target] + 1.0)[:, None]
 
 
@@ -217,64 +286,70 @@ def _train(counts, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start = _unpacked(counts.value), weights.value
         shape = known.shape
-        own = Weights(shape, start.copy())
-        speed_g, speed_p = np.zeros(shape.buckets, np.float32), np.zeros(shape.buckets, np.float32)
-        tokens = 0
+        own = Weights(known, start.copy())
+        speed = np.zeros((2, own.buckets), np.float32)
+        met = np.zeros((own.buckets, 2), np.float32)
         for piece in pieces(batches, "text"):
-            ranks, _, edge = token_ranks(piece.column("text"), known)
-            context = features(ranks, edge, known)
-            tokens += len(ranks)
+            ranks, hashes, edge = token_ranks(piece.column("text"), known)
+            context = features(hashes, edge)
             for at in range(0, len(ranks), shape.batch):
                 part = slice(at, at + shape.batch)
-                _, (rows, group, p, where, inner, p_in) = own.forward(known, ranks[part], context[:, part])
-                p *= -1
-                p[np.arange(len(p)), group] += 1
-                p_in *= -1
-                p_in[np.arange(len(p_in)), ranks[part][inner] % shape.per_class] += 1
-                for k in range(len(rows)):
-                    _add_rows(own.group, rows[k], p, speed_g, shape.rate)
-                    if len(inner):
-                        _add_rows(own.place, where[k], p_in, speed_p, shape.rate)
-        if tokens:
-            step = ((own.flat - start) * np.float32(tokens)).reshape(BLOCKS, -1)
+                _, softmaxes = own.forward(known, hashes[part], ranks[part], context[:, part])
+                for top, rows, hit, p in softmaxes:
+                    p *= -1
+                    p[np.arange(len(p)), hit] += 1
+                    table, k = (own.group, 0) if top else (own.place, 1)
+                    for one in rows:
+                        _add_rows(table, one, p, speed[k], met[:, k], shape.rate)
+        if met.any():
+            step = np.split((own.flat - start).astype(np.float16), BLOCKS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in step]),
-                 pa.array([tokens] * BLOCKS, pa.int64())],
-                names=["block", "step", "tokens"],
+                 pa.array([b.tobytes() for b in np.split(met, BLOCKS)])],
+                names=["block", "step", "met"],
             )
 
     return run
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            step = np.frombuffer(row["step"], np.float32).astype(np.float64)
-            total = held.setdefault(row["block"], [np.zeros(len(step)), 0])
-            total[0] += step
-            total[1] += row["tokens"]
-    if held:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(held, pa.int32()), pa.array([v[0].astype(np.float32).tobytes() for v in held.values()]),
-             pa.array([v[1] for v in held.values()], pa.int64())],
-            names=["block", "step", "tokens"],
-        )
+def _add_blocks(groups: int, places: int):
+    """Each row's steps averaged by how often they were met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for block, step, met in zip(*(batch.column(c) for c in ("block", "step", "met"))):
+                met = np.frombuffer(met.as_buffer(), np.float32).reshape(-1, 2)
+                step = np.frombuffer(step.as_buffer(), np.float16).reshape(len(met), -1).astype(np.float32)
+                step[:, :groups] *= met[:, :1]
+                step[:, groups:] *= met[:, 1:]
+                total = held.setdefault(block.as_py(), [np.zeros(step.shape), np.zeros(met.shape)])
+                total[0] += step
+                total[1] += met
+        for block, (step, met) in held.items():
+            step /= np.maximum(np.repeat(met, [groups, places], axis=1), 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([step.astype(np.float32).tobytes()])], names=["block", "step"]
+            )
+
+    return run
 
 
 def train(docs: DataFrame, counts: Counts) -> np.ndarray:
     """Weights after one pass over the training texts, in rounds."""
     context = docs.sparkSession.sparkContext
     shape = counts.shape
-    flat = Weights(shape).flat
+    flat = Weights(counts).flat
     known = context.broadcast(_packed(counts))
-    kind = "block int, step binary, tokens long"
+    added = _add_blocks(shape.groups, shape.per_class)
     for k in range(shape.rounds):
         rows = docs.where(is_training() & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shape.rounds)) == k))
-        steps = rows.select("text").mapInArrow(_train(known, context.broadcast(flat)), kind)
+        steps = rows.select("text").mapInArrow(
+            _train(known, context.broadcast(flat)), "block int, step binary, met binary"
+        )
         parts = flat.reshape(BLOCKS, -1).copy()
-        for row in steps.repartition("block").mapInArrow(_add_blocks, kind).collect():
-            parts[row.block] += np.frombuffer(row.step, np.float32) / row.tokens
+        for row in steps.repartition("block").mapInArrow(added, "block int, step binary").collect():
+            parts[row.block] += np.frombuffer(row.step, np.float32)
         flat = parts.reshape(flat.shape)
     return flat
 
@@ -282,16 +357,16 @@ def train(docs: DataFrame, counts: Counts) -> np.ndarray:
 def _score(counts, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _unpacked(counts.value)
-        model = Weights(known.shape, weights.value)
+        model = Weights(known, weights.value)
         size = np.log10(known.tokens + 0.5 * (known.distinct + 1))
         base_log = np.append(np.log10(known.seen + 0.5) - size, 0.0)
         for piece in pieces(batches, "text"):
             ranks, hashes, edge = token_ranks(piece.column("text"), known)
-            context = features(ranks, edge, known)
+            context = features(hashes, edge)
             logs = np.empty(len(ranks))
             for at in range(0, len(ranks), known.shape.batch):
                 part = slice(at, at + known.shape.batch)
-                logs[part], _ = model.forward(known, ranks[part], context[:, part])
+                logs[part], _ = model.forward(known, hashes[part], ranks[part], context[:, part])
             rare = ranks >= len(known.seen)
             far = np.append(0, np.cumsum(rare))[edge]
             yield pa.RecordBatch.from_arrays(
@@ -323,17 +398,25 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     )
     rows = stored(rows, "lm-scores")  # row numbers are fixed from here on
     size = float(np.log10(known.tokens + 0.5 * (known.distinct + 1)))
+    cell = F.col("word").bitwiseAND(F.lit(shape.per_class ** int(known.depth[-1]) - 1)).alias("cell")
+    cells = counts.where(F.col("n") < known.least).groupBy(cell).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("words"),
+        (F.sum("n") + 0.5 * (F.count("n") + 1)).alias("size"),
+    )
+    seen = F.element_at("words", F.col("word"))
+    weight = F.log10(F.coalesce(seen, F.lit(0)) + 0.5)
     met = (
-        rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+        rows.select("row", F.explode("rare").alias("word")).select("row", "word", cell).join(cells, "cell", "left")
         .groupBy("row").agg(
-            F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.count("n").alias("met"),
+            F.sum(weight).alias("logs"), F.sum(weight - F.log10(F.coalesce("size", F.lit(0.5)))).alias("inside"),
+            F.count(seen).alias("met"),
         )
     )
     rare = F.size("rare")
-    logs, found = F.coalesce("logs", F.lit(0.0)), F.coalesce("met", F.lit(0))
+    logs, inside, found = (F.coalesce(c, F.lit(0)) for c in ("logs", "inside", "met"))
     return rows.join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - rare + found).alias("n_known"),
         F.lit(known.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + logs - rare * size).alias("base_score"),
-        (F.col("score") + logs - rare * float(np.log10(known.rest_size))).alias("score"),
+        (F.col("score") + inside).alias("score"),
     )

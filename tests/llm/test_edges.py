@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import json
+import math
 import time
-
+import zlib
+from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
@@ -333,3 +335,61 @@ def test_weak_sentences_are_located_together(spark):
 def test_scores_of_odd_rows(docs):
     got = maxent.score_texts(docs.select("doc_id", "text")).collect()
     assert len(got) == len(ROWS) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
+
+
+def test_language_model_shares_add_up(spark):
+    """On every way down the shares of all words, the rest and what was never seen make one."""
+    texts = [(k, " ".join(f"w{(k * 7 + j * j) % 300}" for j in range(5 + k % 60))) for k in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    shape = maxent.Shape(words=200, classes=4, per_class=4, bands=(40, 90), cell=2, buckets=64, most_buckets=64)
+    known = maxent.known_counts(maxent.word_counts(docs), shape)
+    assert 0 < len(known.seen) <= 200 and known.seen.min() >= known.least and known.distinct > len(known.seen)
+    flat = np.random.default_rng(1).normal(0, 0.5, (64, shape.groups + 4)).astype(np.float32)
+    model = maxent.Weights(known, flat)
+    order = np.argsort(known.ranks)
+    hashes, ranks = known.hashes[order], known.ranks[order]
+    context = np.repeat(np.array([[5], [6], [7]], np.uint64) * np.uint64(0x9E3779B97F4A7C15), len(ranks), axis=1)
+    logs, _ = model.forward(known, hashes, ranks, context)
+    rest = 0.0
+    depth = int(known.depth[-1])
+    for tail in range(4**depth):
+        more, _ = model.forward(known, np.array([tail], np.uint64), np.array([len(ranks)]), context[:, :1])
+        rest += np.exp(more[0])
+    assert np.exp(logs).sum() + rest == pytest.approx(1, abs=0.01)
+
+
+def test_language_model_step(spark):
+    """The gradient of the forward pass lowers the loss on what it was taken from."""
+    docs = spark.createDataFrame([(k, "a b c d " * 20) for k in range(40)], "doc_id long, text string")
+    known = maxent.known_counts(maxent.word_counts(docs))
+    trained = maxent.train(docs, known)
+    texts = pa.array(["a b c d a b c d"])
+    ranks, hashes, edge = maxent.token_ranks(texts, known)
+    context = maxent.features(hashes, edge)
+    before, _ = maxent.Weights(known).forward(known, hashes, ranks, context)
+    after, _ = maxent.Weights(known, trained).forward(known, hashes, ranks, context)
+    assert after.sum() > before.sum() + 3
+
+
+def test_language_model_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert maxent.score_texts(empty).collect() == []
+    held = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", "one two"])], "doc_id long, text string")
+    assert len(maxent.score_texts(held).collect()) == 3
+
+
+@pytest.mark.parametrize("words", [8, 1 << 18])
+def test_rare_words_keep_their_counts(spark, words):
+    """Whatever the bound, base scores and known words stay the same."""
+    texts = [(k, " ".join(f"w{(k * k + j) % 97}" for j in range(k % 40))) for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r for r in maxent.score_texts(docs, maxent.Shape(words=words)).collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in texts}
+    tokens = {k: t.split() + [None] for k, t in texts}
+    counts = Counter(w for k, ws in tokens.items() if not held[k] for w in ws)
+    total, size = sum(counts.values()), len(counts)
+    for k, ws in tokens.items():
+        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (size + 1))) for w in ws)
+        assert got[k].base_score == pytest.approx(base, rel=1e-9)
+        assert got[k].n_known == sum(counts[w] > 0 for w in ws)
+        assert math.isfinite(got[k].score) and got[k].score < 0

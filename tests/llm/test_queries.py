@@ -65,6 +65,10 @@ def test_scores_over_plain_counts(spark):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(ws), total)
         assert r.n_known == sum(counts[w] > 0 for w in ws)
         assert math.isfinite(r.score) and r.score < 0
+    for part in (True, False):
+        own = [r for r in rows if r.held_out == part]
+        gain = sum(r.score - r.base_score for r in own) / sum(r.n_tokens for r in own)
+        assert gain > 0.05, part
 
 
 def test_neighbours_recall(spark):
