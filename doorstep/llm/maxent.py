@@ -214,12 +214,13 @@ def features(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray, hit: np.ndarray):
-    """Log probability of `hit` in each row, and the probabilities."""
+    """Log probability of `hit` in each row, and the probabilities; `z` is used up."""
     z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(1, keepdims=True)
-    logs = z[np.arange(len(z)), hit] - np.log(total[:, 0])
-    p /= total
+    logs = z[np.arange(len(z)), hit]
+    p = np.exp(z, out=z)
+    total = p @ np.ones(p.shape[1], np.float32)
+    logs -= np.log(total)
+    p *= (1 / total)[:, None]
     return logs, p
 
 
@@ -233,9 +234,11 @@ class Weights:
         self.group, self.place = np.split(self.flat, [self.shape.groups], axis=1)
 
     def _sums(self, table, start, rows):
-        for one in rows:
-            start = start + table[one]
-        return start
+        total = table[rows[0]]
+        for one in rows[1:]:
+            total += table[one]
+        total += start
+        return total
 
     def forward(self, counts: Counts, hashes, ranks, context):
         """Log probabilities, and (is it the group table, rows, hits, probabilities) by softmax."""
@@ -272,14 +275,21 @@ class Weights:
 
 def _add_rows(table, rows, values, speed, met, rate):
     """One adaptive step: rows of `values` summed by table row; `met` counts them."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")
     sorted_rows = rows[order]
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-    total = np.add.reduceat(values[order], first, axis=0)
+    size = np.diff(np.append(first, len(rows)))
     target = sorted_rows[first]
-    speed[target] += (total**2).mean(1)
-    met[target] += np.diff(np.append(first, len(rows)))
-    table[target] += rate * total / np.sqrt(speed[target] + 1.0)[:, None]
+    total = values[order[first]]  # a row met once is its own sum
+    several = np.flatnonzero(size > 1)
+    if len(several):
+        begin = np.cumsum(size[several]) - size[several]
+        inside = np.repeat(size > 1, size)
+        total[several] = np.add.reduceat(values[order[inside]], begin, axis=0)
+    speed[target] += np.einsum("ij,ij->i", total, total) / np.float32(total.shape[1])
+    met[target] += size
+    total *= (np.float32(rate) / np.sqrt(speed[target] + np.float32(1)))[:, None]
+    table[target] += total
 
 
 def _train(counts, weights):
