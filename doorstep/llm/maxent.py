@@ -35,6 +35,8 @@ from doorstep.llm.words import mix, split_words
 
 END = np.uint64(0x1D8AF066E8C1B2D7)
 BLOCKS = 64
+#: Tokens scored at a time: their rows stay in a core's cache.
+CACHED = 1 << 12
 LN10 = float(np.log(10))
 
 
@@ -374,8 +376,8 @@ def _score(counts, weights):
             ranks, hashes, edge = token_ranks(piece.column("text"), known)
             context = features(hashes, edge)
             logs = np.empty(len(ranks))
-            for at in range(0, len(ranks), known.shape.batch):
-                part = slice(at, at + known.shape.batch)
+            for at in range(0, len(ranks), CACHED):
+                part = slice(at, at + CACHED)
                 logs[part], _ = model.forward(known, hashes[part], ranks[part], context[:, part])
             rare = ranks >= len(known.seen)
             far = np.append(0, np.cumsum(rare))[edge]
