@@ -6,6 +6,7 @@ from doorstep.checks import check
 from doorstep.checks.domain import Domain, sql
 from doorstep.operators import recall, trends
 from doorstep.session import fresh_path
+from doorstep.sources import snapshots
 
 
 @check(
@@ -61,7 +62,7 @@ diff AS (
 level AS (SELECT * FROM (VALUES ('small', 0), ('medium', 1), ('large', 2)) v(band, l))"""
 
 
-def _diff(d: Domain):
+def _snapshots(d: Domain):
     orders = d.table("orders")
     top = F.max("o_totalprice")
     band = F.when(top < 200000, "small").when(top < 350000, "medium").otherwise("large")
@@ -73,8 +74,23 @@ def _diff(d: Domain):
 
     cut = F.lit("1996-01-01").cast("timestamp_ntz")
     before = snapshot(orders.where(F.col("o_orderdate") < cut))
-    after = snapshot(orders.where((F.col("o_orderdate") >= cut) & (F.col("o_orderstatus") != "P")))
-    return trends.snapshot_diff(before, after, "business_id", ["band", "priority"])
+    return before, snapshot(orders.where((F.col("o_orderdate") >= cut) & (F.col("o_orderstatus") != "P")))
+
+
+def _diff(d: Domain):
+    return trends.snapshot_diff(*_snapshots(d), "business_id", ["band", "priority"])
+
+
+@check("snapshot_changes", "S11 X3",
+       f"""WITH {_SNAPSHOTS} SELECT *, CASE WHEN action = 'changed' THEN concat_ws(',', CASE WHEN old_band IS DISTINCT FROM new_band THEN 'band' END,
+             CASE WHEN old_priority IS DISTINCT FROM new_priority THEN 'priority' END) ELSE '' END AS columns FROM diff WHERE action <> 'same'""")
+def _(d: Domain):
+    path, days, tables = fresh_path(d.spark, "days"), ("1996-01-01", "1998-12-31"), _snapshots(d)
+    for day, rows in zip(days, tables):
+        snapshots.write_day(rows, path, day, "business_id", 64)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tables[0].schema)
+    diff = snapshots.changes(d.spark, path, *days, schema, "business_id", ["band", "priority"])
+    return diff.withColumn("columns", F.array_join("columns", ","))
 
 
 @check("snapshot_differences", "X3",
