@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from doorstep.checks import check
 from doorstep.checks.domain import Domain, sql
 from doorstep.functions import secrets
-from doorstep.operators import audit, ledger
+from doorstep.operators import audit, ledger, percentiles
 
 _BUDGET = """
 budget AS (
@@ -256,6 +256,19 @@ def _(d: Domain):
     ).withColumn("latency_p95", F.round("latency_p95", 6))
 
 
+@check(
+    "call_latency_percentiles", "X4",
+    """SELECT l_returnflag AS provider, count(*) AS n, round(quantile_cont(cents, 0.5), 3) AS p50, round(quantile_cont(cents, 0.95), 3) AS p95
+       FROM (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) GROUP BY 1""",
+)
+def _(d: Domain):
+    calls = d.table("lineitem").select(
+        F.col("l_returnflag").alias("provider"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents")
+    )
+    found = percentiles.exact_percentiles(calls, ["provider"], "cents", {"p50": 0.5, "p95": 0.95})
+    return found.withColumns({c: F.round(c, 3) for c in ("p50", "p95")})
+
+
 @check(
     "open_steps", "X6",
     """SELECT user_id, day, count(*) AS events, arg_max(event_type, event_id) AS last_type, max(ts) AS last_ts, max(event_id) AS last_event_id
