@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from doorstep.checks import check
 from doorstep.checks.domain import Domain, sql
-from doorstep.operators import observe, offers
+from doorstep.operators import observe, offers, summaries
 from doorstep.operators.ordering import latest_per_key
 
 _ASOF = "2024-02-20 00:00:00"
@@ -50,6 +50,24 @@ def _(d: Domain):
     return observe.freshness(d.observations)
 
 
+def _merged(d: Domain):
+    """Summaries by day; the days before a cut and from it on merged by themselves, then together."""
+    days, cut = summaries.daily(d.observations), F.lit("2024-02-01").cast("date")
+    early, late = (summaries.merge(days.where(part)) for part in (F.col("since") < cut, F.col("since") >= cut))
+    return summaries.merge(early.unionByName(late))
+
+
+@check("miss_ladder_of_summaries", "W6",
+       _ladder_sql("SELECT business_id, question, misses, last_miss_at, retry_after FROM ladder2"))
+def _(d: Domain):
+    return summaries.ladder(_merged(d))
+
+
+@check("freshness_of_summaries", "A6", _ladder_sql("SELECT business_id, question, last_ok_at FROM fresh"))
+def _(d: Domain):
+    return summaries.freshness(_merged(d))
+
+
 @check(
     "lookups_due", "F4",
     _ladder_sql(

@@ -55,6 +55,12 @@ def freshness(
     )
 
 
+def retry_after(misses: Column, last_miss_at: Column, backoff_days: Sequence[int]) -> Column:
+    """When to ask again after so many misses; NULL beyond the last step."""
+    days = F.try_element_at(F.array(*[F.lit(d) for d in backoff_days]), misses.cast("int"))
+    return last_miss_at + F.make_dt_interval(days)
+
+
 def miss_ladder(
     observations: DataFrame,
     mapping: Mapping[str, Sequence[str]] = SOURCES_BY_QUESTION,
@@ -81,13 +87,8 @@ def miss_ladder(
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("misses"), F.max("fetched_at").alias("last_miss_at"))
     )
-    days = F.try_element_at(
-        F.array(*[F.lit(d) for d in backoff_days]), F.col("misses").cast("int")
-    )
-    return misses.select(
-        *keys, "misses", "last_miss_at",
-        (F.col("last_miss_at") + F.make_dt_interval(days)).alias("retry_after"),
-    )
+    again = retry_after(F.col("misses"), F.col("last_miss_at"), backoff_days)
+    return misses.select(*keys, "misses", "last_miss_at", again.alias("retry_after"))
 
 
 def lookups(
