@@ -6,6 +6,8 @@ from doorstep.checks import check
 from doorstep.checks.domain import Domain, compact_sql, sql
 from doorstep.functions.text import first_present
 from doorstep.operators import identity
+from doorstep.session import fresh_path
+from doorstep.sources import current
 
 _AUTHORITY = (
     "lower(regexp_extract(CASE WHEN contains(website, '://') THEN website "
@@ -179,8 +181,7 @@ UNION ALL
 SELECT dedupe_key, name, phone, nullif(notes, ''), seen_at, seen_at FROM both_ WHERE dedupe_key IS NULL"""
 
 
-@check("upserted_businesses", "A3", _UPSERT_SQL)
-def _(d: Domain):
+def _upserts(d: Domain):
     stored = d.table("customer").select(
         F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("K"), F.col("c_custkey").cast("string"))).alias("dedupe_key"),
         F.col("c_custkey").alias("_seq"), F.col("c_name").alias("name"),
@@ -195,24 +196,67 @@ def _(d: Domain):
         F.when(status == "O", "").when(status == "P", F.col("o_orderpriority")).alias("notes"),
         F.col("o_orderdate").alias("seen_at"),
     )
+    return stored, incoming
+
+
+@check("upserted_businesses", "A3", _UPSERT_SQL)
+def _(d: Domain):
     merged = identity.upsert(
-        stored, incoming, "dedupe_key", replace=["name"], keep_known=["phone"],
+        *_upserts(d), "dedupe_key", replace=["name"], keep_known=["phone"],
         keep_present=["notes"], first={"first_seen_at": "seen_at"}, last={"last_seen_at": "seen_at"},
     )
     return merged.withColumn("notes", first_present(F.col("notes")))
 
 
-@check(
-    "cells_inserted_if_absent", "A17",
-    """SELECT c_custkey AS cell, c_mktsegment AS status FROM customer
+@check("upserted_businesses_by_bucket", "A3", _UPSERT_SQL)
+def _(d: Domain):
+    """The stored table as hashed buckets, the orders merged in by three ranges of their keys."""
+    stored, incoming = (df.withColumn("first_seen_at", F.col("seen_at")).withColumnRenamed("seen_at", "last_seen_at")
+                        for df in _upserts(d))
+    path = fresh_path(d.spark, "businesses")
+    current.begin(stored.drop("_seq"), path, ["dedupe_key"], 64)
+    for batch, part in enumerate(_in_ranges(incoming, "_seq", 3), 1):
+        current.merge(d.spark, path, batch, part, lambda held, new: identity.upsert(
+            held, new, "dedupe_key", replace=["name"], keep_known=["phone"], keep_present=["notes"],
+            first={"first_seen_at": "first_seen_at"}, last={"last_seen_at": "last_seen_at"},
+        ))
+    return current.rows(d.spark, path).withColumn("notes", first_present(F.col("notes")))
+
+
+def _in_ranges(df, column: str, n: int):
+    """`df` in `n` parts that together are all of it, cut at quantiles of a column without nulls."""
+    cuts = df.select(F.percentile_approx(column, [i / n for i in range(1, n)])).first()[0] or []
+    value = F.col(column)
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:]):
+        above = F.lit(True) if low is None else value > low
+        yield df.where(above if high is None else above & (value <= high))
+
+
+_CELLS_SQL = """SELECT c_custkey AS cell, c_mktsegment AS status FROM customer
        UNION ALL
        SELECT DISTINCT o_custkey * 2, 'pending' FROM orders
-       WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey * 2)""",
-)
+       WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey * 2)"""
+
+
+@check("cells_inserted_by_bucket", "A17", _CELLS_SQL)
 def _(d: Domain):
+    stored, incoming = _cells(d)
+    path = fresh_path(d.spark, "cells")
+    current.begin(stored, path, ["cell"], 64)
+    for batch, part in enumerate(_in_ranges(incoming, "cell", 3), 1):
+        current.merge(d.spark, path, batch, part, lambda held, new: identity.insert_if_absent(held, new, ["cell"]))
+    return current.rows(d.spark, path)
+
+
+def _cells(d: Domain):
     stored = d.table("customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("status"))
-    incoming = d.table("orders").select((F.col("o_custkey") * 2).alias("cell"), F.lit("pending").alias("status"))
-    return identity.insert_if_absent(stored, incoming, ["cell"])
+    return stored, d.table("orders").select((F.col("o_custkey") * 2).alias("cell"), F.lit("pending").alias("status"))
+
+
+@check("cells_inserted_if_absent", "A17", _CELLS_SQL)
+def _(d: Domain):
+    return identity.insert_if_absent(*_cells(d), ["cell"])
 
 
 _CANDIDATES = """

@@ -6,6 +6,8 @@ from doorstep.checks import check
 from doorstep.checks.bands import band_table
 from doorstep.checks.domain import COHORT, Domain, sql
 from doorstep.operators import sheet
+from doorstep.session import fresh_path
+from doorstep.sources import current
 
 _LATEST = """
 obs AS (SELECT *, row_number() OVER (PARTITION BY business_id, source ORDER BY fetched_at DESC, id DESC) AS rn FROM observations WHERE status = 'ok'),
@@ -196,7 +198,7 @@ master AS (SELECT place_id, name AS business_name, phone, city, v.my_verdict, v.
 batch AS (SELECT place_id, name || '!' AS business_name, CASE WHEN email IS NULL THEN phone END AS phone, state AS city, 'batch' AS my_verdict, niche_id AS notes FROM businesses WHERE website IS NOT NULL AND lat IS NOT NULL)"""
 
 
-def _reconciled(d: Domain):
+def _master_and_batch(d: Domain):
     keep = ["place_id", F.col("name").alias("business_name"), "phone", "city", "my_verdict", "notes"]
     master = d.businesses.join(d.verdicts, "business_id").where(F.col("my_verdict").isNotNull()).select(*keep)
     batch = d.businesses.where(F.col("website").isNotNull() & F.col("lat").isNotNull()).select(
@@ -208,7 +210,14 @@ def _reconciled(d: Domain):
     shifted = batch.withColumn(
         "place_id", F.when(F.col("phone").isNull(), F.concat("place_id", F.lit("n"))).otherwise(F.col("place_id"))
     )
-    return sheet.reconcile(master, shifted, ["business_name", "phone", "city"], ["my_verdict", "notes"])
+    return master, shifted
+
+
+_AGENT, _OPERATOR = ["business_name", "phone", "city"], ["my_verdict", "notes"]
+
+
+def _reconciled(d: Domain):
+    return sheet.reconcile(*_master_and_batch(d), _AGENT, _OPERATOR)
 
 
 _RECONCILED = f"""{_MASTER},
@@ -226,6 +235,17 @@ def _(d: Domain):
     return _reconciled(d)
 
 
+@check("reconciled_master_by_bucket", "J11",
+       sql("\n@@SELECT * EXCLUDE (action) FROM done", "businesses", "verdicts").replace("\n\n@@", "," + _RECONCILED + "\n"))
+def _(d: Domain):
+    """The master as hashed buckets; the batch is merged into those it has places of."""
+    master, batch = _master_and_batch(d)
+    path = fresh_path(d.spark, "master")
+    current.begin(master.select("place_id", *_AGENT, *_OPERATOR), path, ["place_id"], 64)
+    current.merge(d.spark, path, 1, batch, lambda held, new: sheet.reconcile(held, new, _AGENT, _OPERATOR))
+    return current.rows(d.spark, path)
+
+
 @check("reconcile_counts", "J11", sql("\n@@SELECT action, count(*) AS n FROM done GROUP BY 1", "businesses", "verdicts").replace("\n\n@@", "," + _RECONCILED + "\n"))
 def _(d: Domain):
     return _reconciled(d).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
