@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from doorstep.checks import check
 from doorstep.checks.domain import Domain, sql
-from doorstep.sources import payloads
+from doorstep.sources import drift, payloads
+from doorstep.sources.schemas import SEARCH_RESPONSE
 
 
 def _pages(d: Domain):
@@ -133,3 +134,40 @@ def _(d: Domain):
     return payloads.profile_rows(responses).select(
         "event_id", "handle", "status", "followers", "posts", "bio", "is_private"
     )
+
+
+_DRIFT_SQL = """
+WITH r AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+listed AS (SELECT month FROM r WHERE p NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1)
+SELECT month, 'retyped' AS finding, '$' AS path, 'object' AS declared, 'not json' AS observed, count(*) AS responses FROM r WHERE p = '1-URGENT' GROUP BY 1
+UNION ALL SELECT month, 'retyped', '$.results', 'list', 'object', count(*) FROM r WHERE p = '2-HIGH' GROUP BY 1
+UNION ALL SELECT month, 'unknown', '$.results[].score', NULL, 'number', count(*) FROM r WHERE p = '3-MEDIUM' GROUP BY 1
+UNION ALL SELECT month, 'unknown', '$.`next page`', NULL, 'object', count(*) FROM r WHERE p = '3-MEDIUM' GROUP BY 1
+UNION ALL SELECT month, 'retyped', '$.results[].title', 'text', 'object', count(*) FROM r WHERE p = '5-LOW' AND s = 'F' GROUP BY 1
+UNION ALL SELECT month, 'retyped', '$.results[].title', 'text', 'mixed', count(*) FROM r WHERE p = '4-NOT SPECIFIED' AND s = 'F' GROUP BY 1
+UNION ALL SELECT month, 'missing', '$.results[].' || f, CASE f WHEN 'position' THEN 'number' ELSE 'text' END, NULL, 0
+  FROM listed, (VALUES ('position'), ('site_name'), ('snippet'), ('date')) v(f)"""
+
+
+@check("search_payload_drift", "S2", _DRIFT_SQL)
+def _(d: Domain):
+    """Search responses by month, of which each order priority departs in its own way."""
+    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
+    plain = F.struct(key.cast("string").alias("url"), key.alias("title"))
+    nested = F.struct(key.cast("string").alias("url"), F.struct(priority.alias("text")).alias("title"))
+    scored = F.struct(key.cast("string").alias("url"), priority.alias("title"), F.lit(1.5).alias("score"))
+
+    def body(*results, more=""):
+        listed = F.concat_ws(",", *[F.to_json(r) for r in results])
+        return F.concat(F.lit('{"query":"'), priority, F.lit('","results":['), listed, F.lit(f"]{more}}}"))
+
+    final = F.col("o_orderstatus") == "F"
+    raw = (
+        F.when(priority == "1-URGENT", F.concat(F.lit("<html>"), priority))
+        .when(priority == "2-HIGH", F.concat(F.lit('{"query":"'), priority, F.lit('","results":{"items":[]}}')))
+        .when(priority == "3-MEDIUM", body(scored, scored, more=',"next page":{"at":2}'))
+        .when((priority == "5-LOW") & final, body(nested))
+        .when(final, body(plain, nested)).otherwise(body(plain))
+    )
+    month = F.date_trunc("month", "o_orderdate").cast("date").alias("month")
+    return drift.drift(d.table("orders").select(month, raw.alias("raw")), SEARCH_RESPONSE, ["month"])
