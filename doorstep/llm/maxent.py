@@ -215,13 +215,23 @@ def features(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.stack([mix(one), mix(mix(one) ^ two), mix(two ^ np.uint64(1 << 50))])
 
 
-def _softmax(z: np.ndarray, hit: np.ndarray):
-    """Log probability of `hit` in each row, and the probabilities; `z` is used up."""
-    z -= z.max(1, keepdims=True)
+#: Sums of this size are within what exp can take in 32 bits, and so are their rows' totals.
+SAFE = 60.0
+
+
+def _softmax(z: np.ndarray, hit: np.ndarray, whole: bool):
+    """Log probability of `hit` in each row, and, if `whole`, the probabilities; `z` is used up.
+
+    Rows are moved to a maximum of 0 only where a value is beyond `SAFE` on either side.
+    """
+    if z.max(initial=0) > SAFE or z.min(initial=0) < -SAFE:
+        z -= z.max(1, keepdims=True)
     logs = z[np.arange(len(z)), hit]
     p = np.exp(z, out=z)
     total = p @ np.ones(p.shape[1], np.float32)
     logs -= np.log(total)
+    if not whole:
+        return logs, None
     p *= (1 / total)[:, None]
     return logs, p
 
@@ -232,29 +242,37 @@ class Weights:
     def __init__(self, counts: Counts, flat: np.ndarray | None = None):
         self.shape, self.buckets = counts.shape, counts.buckets
         width = self.shape.groups + self.shape.per_class
-        self.flat = np.zeros((self.buckets, width), np.float32) if flat is None else flat
-        self.group, self.place = np.split(self.flat, [self.shape.groups], axis=1)
+        flat = np.zeros((self.buckets, width), np.float32) if flat is None else flat
+        # Tables of their own: rows are taken from them as whole stretches of memory.
+        self.group, self.place = (t.copy() for t in np.split(flat, [self.shape.groups], axis=1))
+
+    @property
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.group, self.place], axis=1)
 
     def _sums(self, table, start, rows):
-        total = table[rows[0]]
+        total = table.take(rows[0], 0, mode="clip")
         for one in rows[1:]:
-            total += table[one]
+            total += table.take(one, 0, mode="clip")
         total += start
         return total
 
-    def forward(self, counts: Counts, hashes, ranks, context):
-        """Log probabilities, and (is it the group table, rows, hits, probabilities) by softmax."""
+    def forward(self, counts: Counts, hashes, ranks, context, whole: bool = True):
+        """Log probabilities, and (is it the group table, rows, hits, probabilities) by softmax.
+
+        Probabilities are None unless `whole`.
+        """
         shape, size = self.shape, np.uint64(self.buckets - 1)
         rows = (context & size).astype(np.int64)
         group = counts.group[ranks]
-        logs, p = _softmax(self._sums(self.group, counts.group_log, rows), group)
+        logs, p = _softmax(self._sums(self.group, counts.group_log, rows), group, whole)
         logs = logs.astype(np.float64)
         met = [(True, rows, group, p)]
         inner = np.flatnonzero(group < shape.classes)
         if len(inner):
             rows = (mix(context[:, inner] ^ group[inner].astype(np.uint64)) & size).astype(np.int64)
             hit = ranks[inner] % shape.per_class
-            more, p = _softmax(self._sums(self.place, counts.place_log[group[inner]], rows), hit)
+            more, p = _softmax(self._sums(self.place, counts.place_log[group[inner]], rows), hit, whole)
             logs[inner] += more
             met.append((False, rows, hit, p))
         depth = counts.depth[group]
@@ -267,7 +285,7 @@ class Weights:
             rows = (mix(context[:1, at] ^ node) & size).astype(np.int64)
             first = counts.prior_at[g, level]
             prior = counts.prior[np.where(first < 0, -1, first + np.where(first < 0, 0, before.astype(np.int64)))]
-            more, p = _softmax(self._sums(self.place, prior, rows), hit)
+            more, p = _softmax(self._sums(self.place, prior, rows), hit, whole)
             logs[at] += more
             met.append((False, rows, hit, p))
         known = np.flatnonzero((ranks >= shape.modelled) & (ranks < len(counts.seen)))
@@ -282,23 +300,26 @@ def _add_rows(table, rows, values, speed, met, rate):
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
     size = np.diff(np.append(first, len(rows)))
     target = sorted_rows[first]
-    total = values[order[first]]  # a row met once is its own sum
-    several = np.flatnonzero(size > 1)
+    total = values.take(order[first], 0, mode="clip")  # a row met once is its own sum
+    twice = np.flatnonzero(size == 2)
+    total[twice] += values.take(order[first[twice] + 1], 0, mode="clip")
+    several = np.flatnonzero(size > 2)
     if len(several):
         begin = np.cumsum(size[several]) - size[several]
-        inside = np.repeat(size > 1, size)
-        total[several] = np.add.reduceat(values[order[inside]], begin, axis=0)
+        inside = np.repeat(size > 2, size)
+        total[several] = np.add.reduceat(values.take(order[inside], 0, mode="clip"), begin, axis=0)
     speed[target] += np.einsum("ij,ij->i", total, total) / np.float32(total.shape[1])
     met[target] += size
     total *= (np.float32(rate) / np.sqrt(speed[target] + np.float32(1)))[:, None]
-    table[target] += total
+    total += table.take(target, 0, mode="clip")
+    table[target] = total
 
 
 def _train(counts, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start = _unpacked(counts.value), weights.value
         shape = known.shape
-        own = Weights(known, start.copy())
+        own = Weights(known, start)
         speed = np.zeros((2, own.buckets), np.float32)
         met = np.zeros((own.buckets, 2), np.float32)
         for piece in pieces(batches, "text"):
@@ -378,7 +399,7 @@ def _score(counts, weights):
             logs = np.empty(len(ranks))
             for at in range(0, len(ranks), CACHED):
                 part = slice(at, at + CACHED)
-                logs[part], _ = model.forward(known, hashes[part], ranks[part], context[:, part])
+                logs[part], _ = model.forward(known, hashes[part], ranks[part], context[:, part], whole=False)
             rare = ranks >= len(known.seen)
             far = np.append(0, np.cumsum(rare))[edge]
             yield pa.RecordBatch.from_arrays(

@@ -358,6 +358,36 @@ def test_language_model_shares_add_up(spark):
     assert np.exp(logs).sum() + rest == pytest.approx(1, abs=0.01)
 
 
+@pytest.mark.parametrize("size", [1.0, 30.0, 59.0, 61.0, 500.0])
+def test_softmax_of_small_and_large_sums(size):
+    """Equal to one in 64 bits whether rows are moved or not, with and without probabilities."""
+    rng = np.random.default_rng(int(size))
+    z = rng.uniform(-size, size, (50, 36)).astype(np.float32)
+    z[0], z[1], hit = -size, size, rng.integers(0, 36, 50)
+    wide = z.astype(np.float64)
+    want = wide - wide.max(1, keepdims=True)
+    want -= np.log(np.exp(want).sum(1, keepdims=True))
+    logs, p = maxent._softmax(z.copy(), hit, True)
+    assert np.allclose(logs, want[np.arange(50), hit], rtol=1e-5, atol=1e-4) and np.allclose(p, np.exp(want), atol=1e-5)
+    again, none = maxent._softmax(z.copy(), hit, False)
+    assert none is None and (again == logs).all()
+    assert maxent._softmax(z[:0].copy(), hit[:0], True)[0].shape == (0,)
+
+
+def test_language_model_adds_each_row_once():
+    """Rows met once, twice and often get the step of their sum."""
+    rng = np.random.default_rng(3)
+    rows = np.array([5, 1, 5, 2, 2, 2, 7, 1, 0, 2])
+    values = rng.normal(size=(10, 4)).astype(np.float32)
+    table, speed, met = np.ones((8, 4), np.float32), np.zeros(8, np.float32), np.zeros(8, np.float32)
+    maxent._add_rows(table, rows, values, speed, met, 0.3)
+    total = np.zeros((8, 4))
+    np.add.at(total, rows, values)
+    fast = (total**2).mean(1)
+    assert np.allclose(met, np.bincount(rows, minlength=8)) and np.allclose(speed, fast, rtol=1e-5)
+    assert np.allclose(table, 1 + total * (0.3 / np.sqrt(fast + 1))[:, None], rtol=1e-5)
+
+
 def test_language_model_step(spark):
     """The gradient of the forward pass lowers the loss on what it was taken from."""
     docs = spark.createDataFrame([(k, "a b c d " * 20) for k in range(40)], "doc_id long, text string")
