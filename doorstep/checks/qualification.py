@@ -28,13 +28,15 @@ def _(d: Domain):
        WHERE slug <> '' GROUP BY slug""",
 )
 def _(d: Domain):
+    """Slugs of all words, each distinct word made one once; a condition on `slug` itself would be moved below and make it again."""
     from doorstep.functions.text import slug
 
     return (
         d.table("documents").select(F.explode(F.split("text", " ")).alias("w"))
         .groupBy("w").agg(F.count(F.lit(1)).alias("m"))
-        .select(slug(F.col("w")).alias("slug"), "m").where(F.col("slug") != "")
-        .groupBy("slug").agg(F.sum("m").alias("n"))
+        .select(slug(F.col("w")).alias("slug"), "m")
+        .groupBy("slug").agg(F.sum("m").alias("n"), F.max(F.length("slug")).alias("chars"))
+        .where(F.col("chars") > 0).drop("chars")
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -86,26 +86,46 @@ def unaccented(value: Column) -> Column:
     """Compatibility-decomposed text without combining marks, as far as ASCII goes.
 
     One `translate` covers every character with a one-character base letter. Characters
-    that expand to several ("½", "ﬁ") take a second step that only runs on rows holding one.
+    that expand to several ("½", "ﬁ") take a second step that only runs on rows holding one;
+    a row that is ASCII by then is not searched for them.
     """
     source, target, dropped, expanding = _decompositions()
-    single = F.translate(value, source + dropped, target)
     table = F.create_map(*[F.lit(part) for pair in expanding.items() for part in pair])
-    spelled = F.array_join(
-        F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
-    wide = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in expanding) + "]"
-    return (
-        F.when(~value.rlike(r"[^\x00-\x7f]"), value)
-        .when(single.rlike(wide), spelled)
-        .otherwise(single)
+    other = r"[^\x00-\x7f]"
+    wide = f"(?={other})[{_ranges(expanding)}]"
+
+    def spelled(single: Column) -> Column:
+        return F.array_join(
+            F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+        )
+
+    def expanded(single: Column) -> Column:
+        return (
+            F.when(~single.rlike(other), single)
+            .when(single.rlike(wide), spelled(single))
+            .otherwise(single)
+        )
+
+    return F.when(~value.rlike(other), value).otherwise(
+        let(F.translate(value, source + dropped, target), expanded)
     )
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """Characters as the ranges of a character class in Java's dialect."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
 def slug(label: Column) -> Column:
     """Machine id of a display label: `Café bar` -> `cafe_bar`. Empty for no letters."""
     plain = F.lower(unaccented(F.coalesce(label, F.lit(""))))
-    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def slugs(category: Column, labels: Column) -> Column:
