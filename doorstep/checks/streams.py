@@ -6,7 +6,7 @@ from doorstep.checks import check
 from doorstep.checks.domain import Domain
 from doorstep.checks.observations import _ladder_sql
 from doorstep.checks.planning import _MACHINE
-from doorstep.session import fresh_path
+from doorstep.session import fresh_path, written
 from doorstep.streaming import cells, rules, tables
 
 def _events(d: Domain):
@@ -16,7 +16,21 @@ def _events(d: Domain):
 
 
 def _finish(d: Domain, start, df, *key):
-    """Run a stream over everything there is and read its result."""
+    """Run a stream over everything there is and read its result.
+
+    Every batch runs a task per partition of the state, with rows or without, and nothing joins small
+    ones: there are as many as tasks run at once. The query keeps the number it starts with.
+    """
+    configured = d.spark.conf.get("spark.sql.shuffle.partitions")
+    slots = d.spark.sparkContext.defaultParallelism
+    d.spark.conf.set("spark.sql.shuffle.partitions", min(int(configured), slots))
+    try:
+        return _finished(d, start, df, *key)
+    finally:
+        d.spark.conf.set("spark.sql.shuffle.partitions", configured)
+
+
+def _finished(d: Domain, start, df, *key):
     out = fresh_path(d.spark, "stream")
     if start is tables.compacted:
         start(df, f"{out}/data", f"{out}/log", key, buckets=8).awaitTermination()
@@ -29,10 +43,16 @@ def _finish(d: Domain, start, df, *key):
 
 def _in_parts(d: Domain, df, parts: int):
     """Rows in no order, in as many files, read as a stream of one file a batch."""
+    return _files(d, df.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts))), parts)
+
+
+def _files(d: Domain, df, parts: int):
+    """Rows in the order of `part`, one file each, read as a stream of one file a batch."""
     out = fresh_path(d.spark, "parts")
+    rows = written(df, "rows")
     for part in range(parts):
-        df.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(out)
-    return tables.read_stream(d.spark, out, df.schema, files_per_batch=1)
+        rows.where(F.col("part") == part).drop("part").repartition(1).write.mode("append").parquet(out)
+    return tables.read_stream(d.spark, out, rows.drop("part").schema, files_per_batch=1)
 
 
 def _naive(df, *columns):
@@ -79,14 +99,12 @@ def _(d: Domain):
 def _(d: Domain):
     """The earliest listing of each key, from files whose rows lie up to two days out of order."""
     rows = d.table("events").select("user_id", "event_type", F.col("event_id").alias("id"), F.col("ts").cast("timestamp"))
-    out = fresh_path(d.spark, "days")
     # Rows arrive up to 36 hours after their time; eight files hold them in order of arrival.
-    arrived = F.unix_timestamp("ts") + F.pmod(F.xxhash64("id"), F.lit(36)) * 3600
-    rows.withColumn("arrived", arrived).repartition(1).sortWithinPartitions("arrived", "id").drop("arrived").write.option(
-        "maxRecordsPerFile", max(1, -(-rows.count() // 8))
-    ).parquet(out)
+    rows = rows.withColumn("arrived", F.unix_timestamp("ts") + F.pmod(F.xxhash64("id"), F.lit(36)) * 3600)
+    ends = rows.agg(F.percentile_approx("arrived", [i / 8 for i in range(1, 8)])).first()[0] or []
+    part = sum((F.coalesce(F.col("arrived") > end, F.lit(False)).cast("int") for end in ends), F.lit(0))
     _with_rocksdb(d)
-    stream = tables.read_stream(d.spark, out, rows.schema, files_per_batch=1)
+    stream = _files(d, rows.withColumn("part", part).drop("arrived"), 8)
     first = cells.first_rows(stream, "ts", "2 days", ["user_id", "event_type"], ["id"])
     return _naive(_finish(d, tables.append, first), "ts")
 
